@@ -37,7 +37,7 @@ BLOCK = frozenset("address article aside blockquote div dl fieldset figure foote
 #: A node's texts are the site's if there are at most so many different ones for each page that has it, of under or from FEW pages on.
 CONSTANT, FEW = (0.5, 0.75), 8
 #: Hashes kept to count a node's different texts; exact up to this number.
-SKETCH = 32
+SKETCH = 64
 FAN = 16
 #: Hosts of which a task keeps a template at once.
 HELD = 2000
