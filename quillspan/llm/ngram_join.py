@@ -41,12 +41,14 @@ from quillspan.llm.common import buffers, components, cut, mix64, ngram_keys, pl
 
 N = 3
 THRESHOLD = 0.6
-#: Bits of a hash within its range; with a range for each 16 MB of input, about one false share in 10,000.
+#: Bits of a hash within its range; with a range for each RANGE_BYTES of input, about one false share in 10,000.
 REST_BITS = 36
+#: Estimated input bytes for each hash range.
+RANGE_BYTES = 8 << 20
 WIDTH = 6
 IDX_BITS = 12
 #: N-grams that a task holds before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOCK = 1024
 
 
@@ -128,25 +130,27 @@ STAGE2 = "p int, sigs binary, sizes binary, many binary, grams binary, df binary
 def _counter(ranges: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        h, who, sigs, sizes, base = [], [], [], [], 0
-        for g, s, z in zip(t["grams"], t["sigs"], t["sizes"]):
+        sigs = [np.frombuffer(x.as_py(), np.uint64) for x in t["sigs"]]
+        uniq, first, inv = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
+        sizes = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in t["sizes"]])[first]
+        low, shift = np.uint64((1 << IDX_BITS) - 1), np.uint64(64 - REST_BITS)
+        if len(uniq) >= 1 << (64 - REST_BITS):
+            raise ValueError("a hash range holds too many sets; lower RANGE_BYTES")
+        pairs, base = [], 0  # (n-gram, set) in one word, to sort in place; equal sets count once
+        for g, s in zip(t["grams"], sigs):
             p = unplanes(g.as_py(), WIDTH)
-            h.append(p >> np.uint64(IDX_BITS))
-            who.append((p & np.uint64((1 << IDX_BITS) - 1)).astype(np.int64) + base)
-            sigs.append(np.frombuffer(s.as_py(), np.uint64))
-            sizes.append(np.frombuffer(z.as_py(), np.int32))
-            base += len(sigs[-1])
-        h, who, sigs, sizes = (np.concatenate(x) for x in (h, who, sigs, sizes))
-        uniq, first, inv = np.unique(sigs, return_index=True, return_inverse=True)
-        sizes, who = sizes[first], inv[who]
-        # distinct (n-gram, set): equal sets count once
-        order = np.lexsort((who, h))
-        h, who = h[order], who[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-        h, who = h[new], who[new]
+            pairs.append(((p >> np.uint64(IDX_BITS)) << shift) | inv[base + (p & low).astype(np.int64)].astype(np.uint64))
+            base += len(s)
+        pairs = np.concatenate(pairs)
+        pairs.sort()
+        if len(pairs):
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        h = pairs >> shift
+        who = (pairs & np.uint64((1 << (64 - REST_BITS)) - 1)).astype(np.int32)
+        del pairs
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.append(begin, len(h))), np.diff(np.append(begin, len(h))))
+        run_ = np.diff(np.append(begin, len(h)))
+        df = np.repeat(run_, run_)
         keep = df > 1
         h, who, df = h[keep], who[keep], df[keep].astype(np.int64)
         order = np.argsort(who, kind="stable")  # uniq is sorted, so by set; within it by hash
@@ -361,7 +365,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, b
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    ranges = shards(base)
+    ranges = shards(base, RANGE_BYTES)
     sent = base.mapInArrow(_sender(n, ranges), STAGE1)
     counted = sent.groupBy("r").applyInArrow(_counter(ranges), STAGE2)
     sets = cut(counted.groupBy("p").applyInArrow(_assembler(threshold), STAGE3))
