@@ -65,7 +65,7 @@ def _slice_sets(raw: np.ndarray, offs: np.ndarray, n: int, bits: int) -> tuple[n
     return (k >> np.uint64(bits)).astype(np.int64), k & np.uint64((1 << bits) - 1)
 
 
-STAGE1 = "r int, sigs binary, sizes binary, grams binary, dsig binary, dsize binary, ids binary"
+STAGE1 = "r int, sigs binary, grams binary, dsig binary, dsize binary, ids binary"
 
 
 def _sender(n: int, ranges: int):
@@ -84,7 +84,7 @@ def _sender(n: int, ranges: int):
             cuts = np.searchsorted(packed, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(REST_BITS + IDX_BITS)) if ranges > 1 else np.array([0, len(packed)])
             cuts[-1] = len(packed)
             home = (sigs >> np.uint64(33)).astype(np.int64) % ranges
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             mask = np.uint64((1 << (REST_BITS + IDX_BITS)) - 1)
             low = np.uint64((1 << IDX_BITS) - 1)
             for r in range(ranges):
@@ -96,9 +96,9 @@ def _sender(n: int, ranges: int):
                 used[(part & low).astype(np.int64)] = True
                 to = np.cumsum(used) - 1
                 part = (part & ~low) | to[(part & low).astype(np.int64)].astype(np.uint64)
-                for o, x in zip(out, (r, sigs[used].tobytes(), sizes[used].tobytes(), planes(part, WIDTH), sigs[mine].tobytes(), sizes[mine].tobytes(), ids[mine].tobytes())):
+                for o, x in zip(out, (r, sigs[used].tobytes(), planes(part, WIDTH), sigs[mine].tobytes(), sizes[mine].tobytes(), ids[mine].tobytes())):
                     o.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], names=["r", "sigs", "sizes", "grams", "dsig", "dsize", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], names=["r", "sigs", "grams", "dsig", "dsize", "ids"])
 
         for b in batches:
             ident = b["id"].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -124,15 +124,14 @@ def _sender(n: int, ranges: int):
     return run
 
 
-STAGE2 = "p int, sigs binary, sizes binary, many binary, grams binary, df binary, dsig binary, dsize binary, ids binary"
+STAGE2 = "p int, sigs binary, many binary, grams binary, df binary, dsig binary, dsize binary, ids binary"
 
 
 def _counter(ranges: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         r = key[0].as_py()
         sigs = [np.frombuffer(x.as_py(), np.uint64) for x in t["sigs"]]
-        uniq, first, inv = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        sizes = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in t["sizes"]])[first]
+        uniq, inv = np.unique(np.concatenate(sigs), return_inverse=True)
         low, shift = np.uint64((1 << IDX_BITS) - 1), np.uint64(64 - REST_BITS)
         if len(uniq) >= 1 << (64 - REST_BITS):
             raise ValueError("a hash range holds too many sets; lower RANGE_BYTES")
@@ -159,13 +158,13 @@ def _counter(ranges: int):
         home = (uniq[there] >> np.uint64(33)).astype(np.int64) % ranges
         ends = np.cumsum(many)
         doc = [np.concatenate([np.frombuffer(x.as_py(), k) for x in t[c]]) for c, k in (("dsig", np.uint64), ("dsize", np.int32), ("ids", np.int64))]
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(8)]
         for p in np.unique(np.append(home, r)).tolist():
             m = home == p
             at = spread(ends[m] - many[m], many[m])
             mine = there[m]
             extra = [d.tobytes() for d in doc] if p == r else [b"", b"", b""]
-            for o, x in zip(out, (p, uniq[mine].tobytes(), sizes[mine].tobytes(), many[m].astype(np.int32).tobytes(), planes(h[at], 8), planes(df[at], 4), *extra)):
+            for o, x in zip(out, (p, uniq[mine].tobytes(), many[m].astype(np.int32).tobytes(), planes(h[at], 8), planes(df[at], 4), *extra)):
                 o.append(x)
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], names=[x.split()[0] for x in STAGE2.split(", ")])
 
