@@ -19,7 +19,7 @@ SELECT doc_id, CAST(nw AS INTEGER) AS n_words, CAST(ns AS INTEGER) AS n_sentence
  round(CASE WHEN len(l) > 0 THEN list_sum(l) / len(l) ELSE 0 END, 6) AS mean_length,
  round(sqrt(greatest(CASE WHEN len(l) > 1 THEN (list_sum(list_transform(l, lambda x: x * x)) - list_sum(l) * list_sum(l) / len(l)) / (len(l) - 1) ELSE 0 END, 0)), 4) AS sd_length,
  round(CASE WHEN len(o) > 0 THEN len(list_distinct(o)) / len(o) ELSE 0 END, 6) AS opener_variety,
- round(CASE WHEN nw > 0 AND ns > 0 THEN 206.835 - 1.015 * nw / ns - 84.6 * syl / nw ELSE 0 END, 3) AS flesch
+ round(CASE WHEN nw > 0 AND ns > 0 THEN 206.835 - 1.015 * nw / ns - 84.6 * syl / nw ELSE 0 END + 1e-9, 6) AS flesch
 FROM (SELECT *, len(w) AS nw, len(s) AS ns, list_sum(list_transform(w, lambda x: {SYL.format('x')})) AS syl,
         list_filter(list_transform(s, lambda x: len({WORDS.format('x')})), lambda n: n > 0) AS l,
         list_filter(list_transform(s, lambda x: lower(regexp_extract(x, '[A-Za-z][A-Za-z''’-]*'))), lambda x: x <> '') AS o

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from quillspan.plans import q_lines, q_links, q_prose, q_structure
+    from quillspan.plans import q_lines, q_links, q_prose, q_rewrite, q_structure
 
-    return [q_lines, q_structure, q_links, q_prose]
+    return [q_lines, q_structure, q_links, q_prose, q_rewrite]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
