@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -163,6 +164,20 @@ def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out + np.arange(total)
 
 
+_libc = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    try:
+        _libc = _libc or ctypes.CDLL("libc.so.6")
+        _libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a DataFrame's size; no job runs."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

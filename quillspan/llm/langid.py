@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import BYTE_CODES, LOWER, buffers, mix64, powers, read, slices, spread, word_spans
+from quillspan.llm.common import BYTE_CODES, LOWER, buffers, mix64, powers, read, release, slices, spread, word_spans
 
 BITS = 16
 AFFIXES = (1, 2, 3, 4)
@@ -258,6 +258,7 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
         m = model.value
         names = np.array(m.langs + [""], object)
         for b in batches:
+            release()
             raw, offs = buffers(b["text"])
             for i, j in slices(offs):
                 row, lab, p = label_words(m, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])

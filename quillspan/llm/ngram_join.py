@@ -37,19 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import buffers, components, cut, mix64, ngram_keys, planes, read, shards, slices, small, spread, unplanes
+from quillspan.llm.common import buffers, components, cut, mix64, ngram_keys, planes, read, release, shards, slices, small, spread, unplanes
 
 N = 3
 THRESHOLD = 0.6
 #: Bits of a hash within its range; with a range for each RANGE_BYTES of input, about one false share in 10,000.
 REST_BITS = 36
 #: Estimated input bytes for each hash range.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 WIDTH = 6
 IDX_BITS = 12
 #: N-grams that a task holds before it sends them.
 FLUSH = 1_000_000
-BLOCK = 1024
+BLOCK = 2048
 
 
 def _needed(t: float, size):
@@ -106,8 +106,11 @@ def _sender(n: int, ranges: int):
             for i, j in slices(offs, rows_each):
                 if docs + j - i > 1 << IDX_BITS or size > FLUSH:
                     if held:
-                        yield flush()
-                    held, size, docs = [], 0, 0
+                        out = flush()
+                        held.clear()
+                        release()
+                        yield out
+                    size = docs = 0
                 row, h = _slice_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n, bits)
                 count = np.bincount(row, minlength=j - i)
                 has = np.flatnonzero(count)
@@ -119,7 +122,10 @@ def _sender(n: int, ranges: int):
                 held.append((ident[i:j][has], count[has].astype(np.int32), sig, new[row], h))
                 size, docs = size + len(h), docs + len(has)
         if held:
-            yield flush()
+            out = flush()
+            held.clear()
+            release()
+            yield out
 
     return run
 
@@ -166,6 +172,8 @@ def _counter(ranges: int):
             extra = [d.tobytes() for d in doc] if p == r else [b"", b"", b""]
             for o, x in zip(out, (p, uniq[mine].tobytes(), many[m].astype(np.int32).tobytes(), planes(h[at], 8), planes(df[at], 4), *extra)):
                 o.append(x)
+        del h, who, df, inv
+        release()
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], names=[x.split()[0] for x in STAGE2.split(", ")])
 
     return run
@@ -354,6 +362,7 @@ def _joiner(t_min: float):
                 x, y = (x, y) if (x[0], x) <= (y[0], y) else (y, x)
                 for o, v in zip(out, ("near", x, y, round(s, 6))):
                     o.append(v)
+        release()
         return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.float64())], names=["kind", "docs_a", "docs_b", "jaccard"])
 
     return run

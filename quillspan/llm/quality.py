@@ -9,8 +9,8 @@ rows. Since the layer is linear, inference sums one number a gram and class,
 
 Classes: 0 clean, 1 junk (label quality = 0).
 
-Defined results: a null or empty text has no grams, its probability is that of
-the bias alone and it isn't rejected for it; a null id is carried along; labels
+Defined results: a null or empty text has no grams, its probability of junk is 0
+and it isn't rejected; a null id is carried along; labels
 that are null or whose document is missing aren't trained on; without any
 labels of a class, nothing is rejected.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspan.llm.common import LOWER, buffers, read, slices, span_hashes, word_spans
+from quillspan.llm.common import LOWER, buffers, read, release, slices, span_hashes, word_spans
 
 BUCKET_BITS = 17
 DIM = 8
@@ -84,7 +84,9 @@ class Model:
                 acc = np.zeros(len(b) + 1)
                 np.cumsum(self.table[:, c][b], out=acc[1:], dtype=np.float64)
                 total[:, c] += acc[hi] - acc[lo]
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        z = total / np.maximum(count, 1)[:, None] + self.bias
+        z[count == 0, 1:] = -np.inf
+        return z
 
     def probabilities(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         z = self.logits(raw, offs)
@@ -165,20 +167,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and p_junk, from the whole text."""
+    """All columns of docs and a last one, the probability of junk from the whole text: p_junk, or with underscores before it where docs has that."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x classes
-    schema = docs.schema.names
-    if "p_junk" in schema:
-        raise ValueError("docs already has a column p_junk")
+    name = "p_junk"
+    while name in (c.lower() for c in docs.columns):
+        name = "_" + name
 
     def run(batches):
         m = shared.value
         for b in batches:
             raw, offs = buffers(b["text"])
             p = np.concatenate([np.zeros(0)] + [m.probabilities(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[:, 1] for i, j in slices(offs)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "p_junk"])
+            release()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("p_junk", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,7 +192,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't rejected, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("p_junk") < threshold).drop("p_junk")
+    out = score(docs, fit(docs, labels))
+    return out.where(out[out.columns[-1]] < threshold).drop(out.columns[-1])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import read, spread
+from quillspan.llm.common import read, release, spread
 
 MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 UNITS = re.compile(" *[^ ]+| +")
@@ -223,8 +223,9 @@ class Codec:
         idx = np.array(index, np.int64)
         ids = flat[spread(at[idx], many[idx])]
         ends = np.concatenate([[0], np.cumsum(many[idx])])
+        per = np.array(per, np.int64)
         upto = np.cumsum(per)
-        return ids, ends[upto] - ends[upto - np.array(per, np.int64)]
+        return ids, ends[upto] - ends[upto - per]
 
     def decode(self, ids: np.ndarray, many: np.ndarray) -> list[str]:
         n = self.size[ids]
@@ -263,6 +264,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 offs = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offs, pa.array(ids, pa.int32()), mask=pa.array(null))
                 same = [None if t is None else t == x for t, x in zip(part, back)]
+                release()
                 yield pa.RecordBatch.from_arrays([docs_ids[a:b], pa.array(many.astype(np.int64), mask=null), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
                 a = b
 

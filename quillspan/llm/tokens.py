@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import read
+from quillspan.llm.common import read, release
 
 VOCABULARY = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -185,6 +185,7 @@ def prefix_counts(docs: DataFrame, budgets: tuple[int, ...] = BUDGETS, vocabular
                         out.append(int(np.flatnonzero(c <= most)[-1]) + 1 if n[-1] > most else None)
                 chars = [None if x is None else len(x) for x in tables]
                 cols = [b["doc_id"], *(pa.array(x, pa.int64()) for x in (chars, n, *cuts)), pa.array(tables, pa.binary())]
+                release()
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_chars long, n_tokens long, " + "".join(f"cut_{b} long, " for b in budgets) + "prefix_deltas binary"
