@@ -179,9 +179,12 @@ def release() -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a DataFrame's size; no job runs."""
+    """The optimizer's estimate of a DataFrame's size; where it has none, as for rows from the driver, the strings are measured."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    if size < 1 << 56:
+        return size
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return df.agg(F.sum(sum(texts, F.lit(16)))).first()[0] or 0
 
 
 def shards(df: DataFrame, each: int = 16 << 20, least: int = 4) -> int:

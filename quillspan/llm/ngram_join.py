@@ -87,11 +87,9 @@ def _sender(n: int, ranges: int):
             out: list[list] = [[] for _ in range(6)]
             mask = np.uint64((1 << (REST_BITS + IDX_BITS)) - 1)
             low = np.uint64((1 << IDX_BITS) - 1)
-            for r in range(ranges):
+            for r in np.union1d(np.flatnonzero(np.diff(cuts)), home).tolist():
                 part = packed[cuts[r] : cuts[r + 1]] & mask
                 mine = home == r
-                if not len(part) and not mine.any():
-                    continue
                 used = np.zeros(len(ids), bool)
                 used[(part & low).astype(np.int64)] = True
                 to = np.cumsum(used) - 1
