@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from quillspan.plans import q_lines, q_links, q_prose, q_rewrite, q_structure
+    from quillspan.plans import q_lines, q_links, q_prose, q_rewrite, q_structure, q_surface
 
-    return [q_lines, q_structure, q_links, q_prose, q_rewrite]
+    return [q_lines, q_structure, q_links, q_prose, q_rewrite, q_surface]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
