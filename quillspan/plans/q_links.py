@@ -20,7 +20,7 @@ def _g(recipe, make, *cols):
     def run(spark, d):
         docs = recipe(spark, d)
         out = make(G.Graph(B.records(docs)), docs)
-        return out.select(*(cols or ("doc_id", "rule", "severity", "line")))
+        return out.selectExpr(*(cols or ("doc_id", "rule", "severity", "line")))
 
     return run
 
@@ -28,7 +28,7 @@ def _g(recipe, make, *cols):
 def _r(recipe, make, *cols):
     def run(spark, d):
         docs = recipe(spark, d)
-        return make(B.records(docs), docs).select(*(cols or ("doc_id", "rule", "severity", "line")))
+        return make(B.records(docs), docs).selectExpr(*(cols or ("doc_id", "rule", "severity", "line")))
 
     return run
 
@@ -158,9 +158,9 @@ def entries():
     out["g22_repair_moved"] = (lambda spark, d: G.repair_edits(_moved(spark, d), F.col("replacement")).select("doc_id", "start", "end", "replacement"), "SELECT n_nationkey AS doc_id, 4 AS start, 4 + strlen('old/note-' || n_nationkey || '.md#top') AS \"end\", 'new/note-' || n_nationkey || '.md#top' AS replacement FROM nation WHERE n_nationkey % 2 = 0")
     out["g23_repaired"] = (_repaired, f"SELECT n_nationkey AS doc_id, '# ' || n_name || chr(10) || chr(10) || '[t](#' || CASE WHEN n_nationkey % 3 < 2 THEN {SLUG} ELSE 'nothing-like-it-at-all' END || ')' || chr(10) AS text FROM nation")
     out["t04_forbidden_terms"] = (_r(R.terms, lambda rec, docs: T.forbidden(rec, docs, TERMS), "doc_id", "rule", "line", "fixable"), "SELECT s_suppkey AS doc_id, 'terms.forbidden' AS rule, 3 AS line, unnest(CASE WHEN s_suppkey % 2 = 1 THEN [true, false] ELSE [false] END) AS fixable FROM supplier WHERE s_suppkey <> 5")
-    out["t05_first_uses"] = (_r(R.terms, lambda rec, docs: T.first_uses(rec, docs, TERMS), "doc_id", "term", F.col("introduced").cast("int").alias("introduced")), "SELECT s_suppkey AS doc_id, 'database' AS term, 0 AS introduced FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'API', CAST(s_suppkey % 3 = 0 AS INTEGER) FROM supplier")
+    out["t05_first_uses"] = (_r(R.terms, lambda rec, docs: T.first_uses(rec, docs, TERMS), "doc_id", "term", "cast(introduced as int) as introduced"), "SELECT s_suppkey AS doc_id, 'database' AS term, 0 AS introduced FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'API', CAST(s_suppkey % 3 = 0 AS INTEGER) FROM supplier")
     out["t07_undefined_acronym"] = (_r(R.terms, lambda rec, docs: T.undefined_acronyms(rec, docs, TERMS)), "SELECT s_suppkey AS doc_id, 'terms.undefined-acronym' AS rule, 'warning' AS severity, 12 AS line FROM supplier WHERE s_suppkey % 3 <> 0")
-    out["t09_usage"] = (_r(R.terms, lambda rec, docs: T.usage(rec, docs, TERMS), "term", F.size("used_in").alias("n_used"), F.size("introduced_in").alias("n_introduced")), "SELECT 'API' AS term, count(*) AS n_used, count(*) FILTER (s_suppkey % 3 = 0) AS n_introduced FROM supplier UNION ALL SELECT 'database', count(*), 0 FROM supplier WHERE s_suppkey % 2 = 0")
+    out["t09_usage"] = (_r(R.terms, lambda rec, docs: T.usage(rec, docs, TERMS), "term", "size(used_in) as n_used", "size(introduced_in) as n_introduced"), "SELECT 'API' AS term, count(*) AS n_used, count(*) FILTER (s_suppkey % 3 = 0) AS n_introduced FROM supplier UNION ALL SELECT 'database', count(*), 0 FROM supplier WHERE s_suppkey % 2 = 0")
     out["t10_term_edits"] = (lambda spark, d: (lambda docs: E.apply(T.term_edits(T.forbidden(B.records(docs), docs, TERMS)), docs).select("doc_id", F.regexp_extract("text", "\nThe ([a-z ]+) is here", 1).alias("word")))(R.terms(spark, d)), "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey = 5 THEN 'data base' ELSE 'database' END AS word FROM supplier")
     out["t01_benchmark_terms"] = (lambda spark, d: R.table(spark, d, "documents").where(F.col("text").rlike(T.word_pattern("the"))).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}\\p{M}_-])the($|[^\\p{L}\\p{N}\\p{M}_-])')")
     out["c01_heading_skip"] = (_r(R.skips, lambda rec, docs: C.heading_skips(rec)), "SELECT n_nationkey AS doc_id, 'check.heading-skip' AS rule, 'warning' AS severity, 3 AS line FROM nation WHERE n_nationkey % 4 = 0")

@@ -93,9 +93,9 @@ def entries():
         "SELECT r_regionkey AS doc_id, unnest(['heading', 'paragraph', 'BLANK']) AS kind, unnest([1 + c, 1 + c, 2 + 2 * c]) AS n FROM (SELECT r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS c FROM region)",
     )
     rec = lambda kinds: (lambda recipe: (lambda spark, d: B.records(recipe(spark, d), kinds=kinds)))
-    pick = lambda recipe, kinds, *cols: (lambda spark, d: rec(kinds)(recipe)(spark, d).select("doc_id", *cols))
+    pick = lambda recipe, kinds, *cols: (lambda spark, d: rec(kinds)(recipe)(spark, d).selectExpr("doc_id", *cols))
     n_of = "(SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)"
-    out["b02_code_fence"] = (pick(R.fences, ["code_fence"], "line", "end_line", F.col("unterminated").cast("int").alias("open_end")), "SELECT c_custkey AS doc_id, 3 AS line, CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 5 END AS end_line, CAST(c_custkey % 3 = 0 AS INTEGER) AS open_end FROM customer")
+    out["b02_code_fence"] = (pick(R.fences, ["code_fence"], "line", "end_line", "cast(unterminated as int) as open_end"), "SELECT c_custkey AS doc_id, 3 AS line, CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 5 END AS end_line, CAST(c_custkey % 3 = 0 AS INTEGER) AS open_end FROM customer")
     out["b04_raw_html"] = (
         pick(R.raw_html, ["raw_html"], "html_kind", "line", "end_line"),
         "SELECT n_nationkey AS doc_id, ['comment', 'cdata', 'processing', 'declaration', 'script'][n_nationkey % 5 + 1] AS html_kind, 3 AS line, CASE n_nationkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE CASE WHEN n_nationkey % 2 = 1 THEN 7 ELSE 5 END END AS end_line FROM nation",
