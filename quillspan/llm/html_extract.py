@@ -19,6 +19,7 @@ never content.
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
@@ -36,6 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: A node's texts are the site's if there are at most so many different ones for each page that has it, of under or from FEW pages on.
 CONSTANT, FEW = (0.5, 0.75), 8
+#: From 64 pages on, a node that a smaller share of the pages has isn't kept in the template.
+RARE = 0.04
 #: Hashes kept to count a node's different texts; exact up to this number.
 SKETCH = 64
 FAN = 16
@@ -106,10 +109,13 @@ def weight(a: list, b: list, memo: dict) -> int:
 
 def _table(x: list, y: list, memo: dict) -> list[list[int]]:
     rows = [[0] * (len(y) + 1)]
+    plain = [len(b[KIDS]) == 1 and b[KIDS][0][TAG] == "#text" for b in y]
+    tags = [b[TAG] for b in y]
     for a in x:
-        prev, row, left = rows[-1], [0], 0
+        prev, row, left, tag = rows[-1], [0], 0, a[TAG]
+        flat = len(a[KIDS]) == 1 and a[KIDS][0][TAG] == "#text"
         for j, b in enumerate(y):
-            best = prev[j] + weight(a, b, memo) if a[TAG] == b[TAG] else 0
+            best = 0 if tag != tags[j] else prev[j] + (2 if flat and plain[j] else weight(a, b, memo))
             up = prev[j + 1]
             left = best if best >= up and best >= left else (up if up > left else left)
             row.append(left)
@@ -159,8 +165,15 @@ def merge(t: list, p: list, memo: dict | None = None) -> None:
     t[PAGES] += p[PAGES]
     if t[TAG] == "#text":
         t[TEXT] = ""
-        if len(t[HASHES]) < SKETCH or p[HASHES][0] <= t[HASHES][-1]:
+        if len(p[HASHES]) > 1:
             t[HASHES] = sorted({*t[HASHES], *p[HASHES]})[:SKETCH]
+            return
+        new, have = p[HASHES][0], t[HASHES]
+        if len(have) < SKETCH or new < have[-1]:
+            at = bisect.bisect_left(have, new)
+            if at == len(have) or have[at] != new:
+                have.insert(at, new)
+                del have[SKETCH:]
         return
     old, i, out = t[KIDS], 0, []
     matched = pairs(old, p[KIDS], memo)
@@ -175,6 +188,13 @@ def merge(t: list, p: list, memo: dict | None = None) -> None:
     t[KIDS] = out
 
 
+def prune(t: list, least: float) -> None:
+    """Takes out nodes that fewer pages have; their texts are content in any case."""
+    t[KIDS] = [k for k in t[KIDS] if k[PAGES] >= least]
+    for k in t[KIDS]:
+        prune(k, least)
+
+
 def _all_text(p: list, out: list[str]) -> None:
     if p[TAG] == "#text":
         out.append(p[TEXT])
@@ -238,7 +258,10 @@ def _learn(batches):
     for b in batches:
         for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist()):
             if host in held:
-                merge(held[host], parse(page))
+                t = held[host]
+                merge(t, parse(page))
+                if t[PAGES] % 64 == 0:
+                    prune(t, RARE * t[PAGES])
             else:
                 if len(held) >= HELD:
                     yield flush()
@@ -253,6 +276,8 @@ def _combine(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     first = json.loads(trees[0])
     for x in trees[1:]:
         merge(first, json.loads(x))
+    if first[PAGES] >= 64:
+        prune(first, RARE * first[PAGES])
     return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int64()), pa.array([json.dumps(first)])], names=["host", "part", "template"])
 
 
