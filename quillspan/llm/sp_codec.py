@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch's text falls into units that no piece crosses: a run of spaces with what
-follows up to the next space. The distinct units of a batch are concatenated and
+follows up to the next space. The distinct units of a batch that the worker hasn't met are concatenated and
 indexed by a suffix array (prefix doubling up to the longest piece); every piece
 of the vocabulary is binary-searched in it, all pieces at once, which gives the
 ranges of its occurrences. The edges so found are sorted by the place where they
@@ -17,6 +17,7 @@ no ids; a null id is carried along; rows that repeat are encoded each.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -32,6 +33,8 @@ UNITS = re.compile(" *[^ ]+| +")
 MARK = "▁"
 #: Code points of text that are indexed together.
 BATCH_CHARS = 4_000_000
+#: Units whose ids a worker keeps; beyond, it starts anew, which costs time only.
+KEPT_UNITS = 300_000
 
 
 class Codec:
@@ -62,6 +65,8 @@ class Codec:
         self.blob = np.frombuffer(b"".join(text), np.uint8)
         self.size = np.array([len(x) for x in text], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.numbers: dict[str, int] = {}  # units encoded so far, with their ids one after the other
+        self.flat, self.many = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.known_keys, self.known = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merge(self, s: str) -> list[str]:
@@ -160,10 +165,10 @@ class Codec:
         single[start[width == 1]] = True
         bare = np.flatnonzero(~single & ~gap)  # code points without a piece
         start, width, piece = np.concatenate([start, bare]), np.concatenate([width, np.ones(len(bare), np.int64)]), np.concatenate([piece, np.full(len(bare), -2)])
-        owner = np.searchsorted(begin, start, side="right") - 1
+        owner = np.repeat(np.arange(len(units)), size + 1)[start]
         end = start + width
         step = end - begin[owner]
-        order = np.lexsort((-width, end, step))
+        order = np.argsort(step << 40 | end << 6 | (63 - width))  # by place in the unit, then by place, longer ones first
         start, piece, end, step, first = start[order], piece[order], end[order], step[order], (start == begin[owner])[order]
         last, back = np.full(len(cp) + 1, -1, np.int64), np.full(len(cp) + 1, -1, np.int64)
         cuts = np.searchsorted(step, np.arange(1, int(size.max()) + 2))
@@ -182,11 +187,13 @@ class Codec:
             got_unit.append(who)
             src = back[at]
             more = src > begin[who]
-            at, who, tail = src[more], who[more], None
-        steps = np.concatenate([np.full(len(u), k) for k, u in enumerate(got_unit)])
-        ids, unit = np.concatenate(got_id), np.concatenate(got_unit)
-        order = np.lexsort((-steps, unit))
-        ids, unit = ids[order], unit[order]
+            at, who = src[more], who[more]
+        many = np.bincount(np.concatenate(got_unit), minlength=len(units))
+        upto = np.cumsum(many)
+        ids = np.empty(int(upto[-1]), np.int64)
+        for k, (x, u) in enumerate(zip(got_id, got_unit)):
+            ids[upto[u] - 1 - k] = x
+        unit = np.repeat(np.arange(len(units)), many)
         if (ids == -2).any():
             ids, unit = self._bytes(ids, unit, cp, begin, size)
         return ids.astype(np.int32), np.bincount(unit, minlength=len(units))
@@ -212,13 +219,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        numbers: dict[str, int] = {}
+        if len(self.numbers) > KEPT_UNITS:
+            self.numbers, self.flat, self.many = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        numbers, old = self.numbers, len(self.numbers)
         index, per = [], []
         for t in texts:
             units = UNITS.findall(" " + t.replace(MARK, " ")) if t else []
             index += [numbers.setdefault(u, len(numbers)) for u in units]
             per.append(len(units))
-        flat, many = self.encode_units(list(numbers))
+        new, n = self.encode_units(list(itertools.islice(numbers, old, None)))
+        self.flat, self.many = np.concatenate([self.flat, new]), np.concatenate([self.many, n])
+        flat, many = self.flat, self.many
         at = np.cumsum(many) - many
         idx = np.array(index, np.int64)
         ids = flat[spread(at[idx], many[idx])]
