@@ -77,39 +77,37 @@ def _kth(x: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(q_id, q, q_pd, tau, x_id, x, x_pd, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, neighbour id, distance): for each query the best k of these rows that its limit allows."""
-    x64 = x.astype(np.float64)
-    out_q, out_x, out_d = [], [], []
+    x64, q64 = x.astype(np.float64), q.astype(np.float64)
+    xt, sx, out = np.ascontiguousarray(x_pd.T), (x64 * x64).sum(axis=1), []
+    first = min(len(x), max(64, 4 * k))
     for a in range(0, len(q), 256):
-        bound = np.zeros((len(q[a : a + 256]), len(x)), np.float32)
-        for p in range(x_pd.shape[1]):
-            np.maximum(bound, np.abs(q_pd[a : a + 256, p, None] - x_pd[None, :, p]), out=bound)
-        for i in range(len(bound)):
-            g = a + i
-            limit = tau[g]
-            cand = np.flatnonzero(bound[i] <= limit + SLACK)
-            if not len(cand):
-                continue
-            cand = cand[np.argsort(bound[i][cand], kind="stable")]
-            b = bound[i][cand]
-            v = q[g].astype(np.float64)
-            ids, dist = np.zeros(0, np.int64), np.zeros(0)
-            at, step = 0, max(64, 4 * k)
-            while at < len(cand) and b[at] <= limit + SLACK:
-                part = cand[at : at + step]
-                d = np.sqrt(((x64[part] - v) ** 2).sum(axis=1))
-                ok = (d <= limit) & (x_id[part] != q_id[g])
-                ids, dist = np.concatenate([ids, x_id[part][ok]]), np.concatenate([dist, d[ok]])
-                if len(ids) > k:
-                    best = np.lexsort((ids, dist))[:k]
-                    ids, dist = ids[best], dist[best]
-                if len(ids) == k:
-                    limit = min(limit, dist.max())
-                at, step = at + step, min(step * 2, 4096)
-            out_q.append(np.full(len(ids), q_id[g]))
-            out_x.append(ids)
-            out_d.append(dist)
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return cat(out_q, np.int64), cat(out_x, np.int64), cat(out_d, float)
+        v, limit, me = q64[a : a + 256], tau[a : a + 256].copy(), q_id[a : a + 256]
+        bound, gap = np.zeros((len(v), len(x)), np.float32), np.empty((len(v), len(x)), np.float32)
+        for p in range(len(xt)):
+            np.subtract(q_pd[a : a + 256, p, None], xt[p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(bound, gap, out=bound)
+        # the candidates of least bound first, for all queries of the chunk at once
+        near = np.argpartition(bound, first - 1, axis=1)[:, :first]
+        d = np.sqrt(((x64[near] - v[:, None, :]) ** 2).sum(axis=2))
+        d[x_id[near] == me[:, None]] = np.inf
+        if first >= k:
+            np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1], out=limit)
+        # then those that the distances found so far don't stop
+        go = bound <= (limit + SLACK)[:, None]
+        np.put_along_axis(go, near, False, axis=1)
+        r, c = np.nonzero(go)
+        if len(r):
+            rough = ((v * v).sum(axis=1)[:, None] + sx - 2 * (v @ x64.T))[r, c]
+            fit = rough <= limit[r] ** 2 * (1 + 1e-9) + 1e-7 * (1 + sx[c])
+            r, c = r[fit], c[fit]
+        far = np.sqrt(((x64[c] - v[r]) ** 2).sum(axis=1))
+        ok = (far <= limit[r]) & (x_id[c] != me[r])
+        nr, nc = np.nonzero(d <= limit[:, None])
+        out.append((np.concatenate([me[nr], me[r[ok]]]), np.concatenate([x_id[near[nr, nc]], x_id[c[ok]]]), np.concatenate([d[nr, nc], far[ok]])))
+    keep = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, float))]
+    fine = np.isfinite(keep[2])
+    return keep[0][fine], keep[1][fine], keep[2][fine]
 
 
 BLOCKS = "block long, ids binary, vecs binary, pds binary, tau binary, lo array<float>, hi array<float>"
