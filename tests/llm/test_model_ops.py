@@ -161,6 +161,12 @@ def test_wrapper_beyond_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, html_extract.content(d).collect())) == want
 
 
+def test_wrapper_learns_a_late_layout(spark):
+    rows = [(i, f"http://a.com/{i}", page(i) if i < 1800 else f'<aside class="new"><b>Banner</b><i>Late {i}.</i></aside>') for i in range(1900)]
+    got = html_extract.content(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).where("page_id >= 1800").collect()
+    assert all(r.content == f"Late {r.page_id}." and r.n_template == 1 for r in got)
+
+
 def test_tree_matching_is_greatest():
     a, b = html_extract.parse("<ul><li>1</li><b>x</b><li>2</li></ul>"), html_extract.parse("<ul><b>x</b><li>2</li></ul>")
     assert html_extract.weight(a, b, {}) == 6
