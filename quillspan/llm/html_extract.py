@@ -1,29 +1,29 @@
 """Main text of web pages by wrapper induction.
 
-Each page becomes a DOM tree. Pages of one host are aligned, one after the
-other, with the host's template by simple tree matching: two nodes match if tag
-and class agree, children match in order so that the number of matched nodes is
-greatest. The template counts for each node how many pages have it and sketches
-how many different texts it has there (the SKETCH least hashes); nodes of a page
-that match nothing are added. Templates of parts of the table are merged by the
+Each page becomes a DOM tree, in which a run of plain siblings of one tag and
+class (paragraphs, items, cells, without blocks in them) is one node. Pages of one
+host are aligned, one after the other, with the host's template by simple tree
+matching: two nodes match if tag and class agree, children match in order so that
+the number of matched nodes is greatest; nodes of a page that match nothing are
+added, and none is taken out. Templates of parts of the table are merged by the
 same alignment, in rounds, until there is one a host. Then each page is aligned
-with its template: text of a node whose texts repeat over the pages is the site's (a constant, or one of a few that rotate); all other text,
-that of varying slots and of nodes without a match, is content.
+with its template, and Spark counts every text of every node by 64-bit hashes:
+text of a node whose texts repeat over the pages is the site's (a constant, or one
+of a few that rotate); all other text is content.
 
 Defined results: a null or empty html has null or empty content; a null url, or
 a host with one page, has no template, so all visible text is content; a null id
-is carried along; repeated rows are pages of their own, so a host whose pages
-all occur twice has no varying text. Script, style, head and comments are
+is carried along; rows whose structure and texts are the same count as one page.
+Script, style, head and comments are
 never content.
 """
 
 from __future__ import annotations
 
-import bisect
+import hashlib
 import html
 import json
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,21 +35,24 @@ PIECE = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|title)\b[
 CLASS = re.compile(r"\bclass\s*=\s*[\"']?([^\"'>]*)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: A node's texts are the site's if there are at most so many different ones for each page that has it, of under or from FEW pages on.
-CONSTANT, FEW = (0.5, 0.75), 8
-#: Hashes kept to count a node's different texts; exact up to this number.
-SKETCH = 64
+#: A text node's texts are the site's if there are at most so many different ones for each occurrence, on different pages.
+CONSTANT = 0.5
 FAN = 16
 #: Hosts of which a task keeps a template at once.
 HELD = 2000
 DEPTH = 100
 
-TAG, TEXT, KIDS, PAGES, HASHES = range(5)
+#: What can be in a run of like siblings that is kept as one node: text, its markup, items and cells.
+INLINE = frozenset("#text a abbr b bdi bdo br cite code data dd del dfn dt em font i img input ins kbd label li mark option q s samp small span strong sub sup tbody td tfoot th thead time tr u var wbr".split())
+#: Structures that a task keeps for a host; more are aligned again.
+KEPT = 2000
+
+TAG, TEXT, KIDS = range(3)
 
 
 def parse(page: str) -> list:
-    """The tree of a page as [tag and class, text, children, pages, hashes of texts]."""
-    root = ["#root", "", [], 1, None]
+    """The tree of a page as [tag and class, text, children]."""
+    root = ["#root", "", []]
     stack, names, at = [root], ["#root"], 0
 
     def text(a: int, b: int) -> None:
@@ -57,7 +60,7 @@ def parse(page: str) -> list:
         if t and not t.isspace():
             kids = stack[-1][KIDS]
             t = " ".join(html.unescape(t).split())
-            kids.append(["#text", t, [], 1, [zlib.crc32(t.encode())]])
+            kids.append(["#text", t, []])
 
     for m in PIECE.finditer(page):
         if m.start() > at:
@@ -79,7 +82,7 @@ def parse(page: str) -> list:
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and names[-1] == name:
             stack.pop(), names.pop()
         cls = CLASS.search(m[4]) if m[4] else None
-        node = [f"{name}.{cls[1]}" if cls else name, "", [], 1, None]
+        node = [f"{name}.{cls[1]}" if cls else name, "", []]
         stack[-1][KIDS].append(node)
         if name not in VOID and len(stack) < DEPTH and not m[0].endswith("/>"):
             stack.append(node)
@@ -157,25 +160,63 @@ def pairs(x: list, y: list, memo: dict) -> list[tuple[int, int]]:
     return out + [(n - hi + k, m - hi + k) for k in range(hi)]
 
 
+def _union(a: list, b: list) -> None:
+    """Adds plain node b to a."""
+    if a[TAG] == "#text":
+        a[TEXT] += b[TEXT]
+    for k in b[KIDS]:
+        for have in a[KIDS]:
+            if have[TAG] == k[TAG]:
+                _union(have, k)
+                break
+        else:
+            a[KIDS].append(k)
+            a[KIDS].sort(key=lambda x: x[TAG])
+
+
+def fold(p: list, texts: list[str]) -> tuple[list, bool]:
+    """(structure of a tree, whether all in it is INLINE); its texts go to texts, a text node has their numbers.
+
+    A run of plain siblings of one tag and class is one node, and so are like nodes within a plain one, which are ordered by tag.
+    """
+    if p[TAG] == "#text":
+        texts.append(p[TEXT])
+        return ["#text", [len(texts) - 1], []], True
+    out, all_plain, last = [], True, False
+    for kid in p[KIDS]:
+        f, plain = fold(kid, texts)
+        if plain and last and out[-1][TAG] == f[TAG]:
+            _union(out[-1], f)
+        else:
+            out.append(f)
+        last = plain
+        all_plain = all_plain and plain and f[TAG].partition(".")[0] in INLINE
+    node = [p[TAG], None, out]
+    if all_plain and out:
+        node[KIDS] = []
+        _union(node, [p[TAG], None, out])
+    return node, all_plain
+
+
+def key(p: list) -> str:
+    """The structure of a folded tree."""
+    if not p[KIDS]:
+        return p[TAG]
+    return f"{p[TAG]}({','.join(map(key, p[KIDS]))})"
+
+
+def structure(page: str) -> tuple[list, list[str], str]:
+    """(folded tree, texts in order, key) of a page."""
+    texts: list[str] = []
+    tree = fold(parse(page), texts)[0]
+    return tree, texts, key(tree)
+
+
 def merge(t: list, p: list, memo: dict | None = None) -> None:
     """Aligns p, a page or a template, with template t and adds it to t."""
     memo = {} if memo is None else memo
-    t[PAGES] += p[PAGES]
-    if t[TAG] == "#text":
-        t[TEXT] = ""
-        if len(p[HASHES]) > 1:
-            t[HASHES] = sorted({*t[HASHES], *p[HASHES]})[:SKETCH]
-            return
-        new, have = p[HASHES][0], t[HASHES]
-        if len(have) < SKETCH or new < have[-1]:
-            at = bisect.bisect_left(have, new)
-            if at == len(have) or have[at] != new:
-                have.insert(at, new)
-                del have[SKETCH:]
-        return
-    old, i, out = t[KIDS], 0, []
+    old, i, j, out = t[KIDS], 0, 0, []
     matched = pairs(old, p[KIDS], memo)
-    j = 0
     for a, b in [*matched, (len(old), len(p[KIDS]))]:
         out += old[i:a]
         out += p[KIDS][j:b]
@@ -186,43 +227,32 @@ def merge(t: list, p: list, memo: dict | None = None) -> None:
     t[KIDS] = out
 
 
-def _all_text(p: list, out: list[str]) -> None:
-    if p[TAG] == "#text":
-        out.append(p[TEXT])
-    for k in p[KIDS]:
-        _all_text(k, out)
-
-
-def different(hashes: list[int]) -> float:
-    """The number of different texts: exact below SKETCH, else from the greatest of the least hashes."""
-    return len(hashes) if len(hashes) < SKETCH else (SKETCH - 1) * 2**32 / max(hashes[-1], 1)
+def number(t: list, at: int = 0) -> int:
+    """Numbers the nodes of a template in order; the next number."""
+    t[TEXT] = at
+    at += 1
+    for k in t[KIDS]:
+        at = number(k, at)
+    return at
 
 
-def extract(t: list | None, p: list) -> tuple[list[str], int]:
-    """(content texts in order, number of texts that are the template's)."""
-    out: list[str] = []
-    if t is None or t[PAGES] < 2:
-        _all_text(p, out)
-        return out, 0
-    site, memo = 0, {}
+def slots(t: list, p: list, n: int) -> list[int]:
+    """The number of the template's node for each of the n texts of a page, -1 for none."""
+    out, memo = [-1] * n, {}
 
     def walk(t: list, p: list) -> None:
-        nonlocal site
         if p[TAG] == "#text":
-            if t[PAGES] > 1 and different(t[HASHES]) <= CONSTANT[t[PAGES] >= FEW] * t[PAGES]:
-                site += 1
-            else:
-                out.append(p[TEXT])
-            return
-        own = {j: i for i, j in pairs(t[KIDS], p[KIDS], memo)}
-        for j, kid in enumerate(p[KIDS]):
-            if j in own:
-                walk(t[KIDS][own[j]], kid)
-            else:
-                _all_text(kid, out)
+            for i in p[TEXT]:
+                out[i] = t[TEXT]
+        for a, b in pairs(t[KIDS], p[KIDS], memo):
+            walk(t[KIDS][a], p[KIDS][b])
 
     walk(t, p)
-    return out, site
+    return out
+
+
+def digest(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _host():
@@ -240,30 +270,37 @@ def _pages(pages: DataFrame) -> DataFrame:
 def _learn(batches):
     from pyspark import TaskContext
 
-    held: dict[str, list] = {}
+    held: dict[str, tuple[list, set[int]]] = {}
     part = TaskContext.get().partitionId()
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int64()), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["host", "part", "template"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int64()), pa.array([json.dumps(t) for t, _ in held.values()], pa.string())], names=["host", "part", "template"])
 
     for b in batches:
         for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist()):
-            if host in held:
-                merge(held[host], parse(page))
-            else:
-                if len(held) >= HELD:
-                    yield flush()
-                    held.clear()
-                held[host] = parse(page)
+            if host not in held and len(held) >= HELD:
+                yield flush()
+                held.clear()
+            tree, _, form = structure(page)
+            number(tree)
+            if host not in held:
+                held[host] = tree, {digest(form)}
+                continue
+            t, seen = held[host]
+            if (d := digest(form)) not in seen:  # one of the same structure adds nothing
+                merge(t, tree)
+                if len(seen) < KEPT:
+                    seen.add(d)
     if held:
         yield flush()
 
 
 def _combine(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    trees = sorted(t["template"].to_pylist())
-    first = json.loads(trees[0])
-    for x in trees[1:]:
+    first, *more = sorted(set(t["template"].to_pylist()))
+    first = json.loads(first)
+    for x in more:
         merge(first, json.loads(x))
+    number(first)
     return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int64()), pa.array([json.dumps(first)])], names=["host", "part", "template"])
 
 
@@ -280,49 +317,119 @@ def templates(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").agg(F.first("template").alias("template"))
 
 
+class Known:
+    """A host's template and what of it is the site's."""
+
+    def __init__(self, template: str, site):
+        self.tree, self.kept, self.site = json.loads(template), {}, set(site or ())
+        number(self.tree)
+
+    def slots(self, tree: list, form: str, n: int) -> list[int]:
+        """As of slots; the nodes of a structure met before are taken from there."""
+        leaves: list[list[int]] = []
+
+        def walk(p: list) -> None:
+            if p[TAG] == "#text":
+                leaves.append(p[TEXT])
+            for k in p[KIDS]:
+                walk(k)
+
+        walk(tree)
+        got = self.kept.get(form)
+        if got is None:
+            out = slots(self.tree, tree, n)
+            if len(self.kept) < KEPT:
+                self.kept[form] = [out[x[0]] for x in leaves]
+            return out
+        out = [-1] * n
+        for x, node in zip(leaves, got):
+            for i in x:
+                out[i] = node
+        return out
+
+
 RESULT = "page_id long, host string, content string, n_content long, n_template long"
 
 
 def _extracted(rows, find) -> pa.Table:
     cols: list[list] = [[], [], [], [], []]
     for page_id, host, page in rows:
-        texts, site = ([], 0) if page is None else extract(find(host), parse(page))
-        for c, v in zip(cols, (page_id, host, None if page is None else "\n".join(texts), len(texts), site)):
+        texts, every = [], []
+        if page is not None:
+            tree, every, form = structure(page)
+            if (known := find(host)) is None:
+                texts = every
+            else:
+                texts = [x for x, node in zip(every, known.slots(tree, form, len(every))) if node not in known.site]
+        for c, v in zip(cols, (page_id, host, None if page is None else "\n".join(texts), len(texts), len(every) - len(texts))):
             c.append(v)
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "host", "content", "n_content", "n_template"])
 
 
-def _shuffled(left: pa.Table, right: pa.Table) -> pa.Table:
-    t = json.loads(right["template"][0].as_py()) if right.num_rows else None
-    return _extracted(zip(*(left[c].to_pylist() for c in ("page_id", "host", "html"))), lambda host: t)
+SEEN = "host string, page long, nodes array<int>, texts array<long>"
 
 
-def content(pages: DataFrame) -> DataFrame:
-    """(page_id, host, content, n_content, n_template) of every page."""
-    known = cut(templates(pages))
+def _seen(rows, find) -> pa.Table:
+    """For each page of a host a hash of it, and each (node, hash of text); a null text stands for all of a node."""
+    cols: list[list] = [[], [], [], []]
+    for _, host, page in rows:
+        if page is None or (known := find(host)) is None:
+            continue
+        tree, every, form = structure(page)
+        has = sorted({(node, digest(x)) for x, node in zip(every, known.slots(tree, form, len(every))) if node >= 0})
+        nodes = sorted({n for n, _ in has})
+        for c, v in zip(cols, (host, digest("\0".join([form, *every])), [*nodes, *(n for n, _ in has)], [*[None] * len(nodes), *(x for _, x in has)])):
+            c.append(v)
+    types = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "page", "nodes", "texts"])
+
+
+def _with_templates(pages: DataFrame, known: DataFrame, work, schema: str) -> DataFrame:
+    """work on all pages, each with what is known of its host: (host, template, site)."""
     rows = _pages(pages)
-    if (known.agg(F.sum(F.octet_length("template"))).first()[0] or 0) <= BROADCAST_BYTES:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.template for r in known.collect()})
+    if (known.agg(F.sum(F.octet_length("template") + 16 * F.greatest(F.size("site"), F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: (r.template, r.site) for r in known.collect()})
 
         def run(batches):
-            ready: dict[str, list | None] = {}
+            ready: dict[str, Known | None] = {}
 
             def find(host):
                 if host not in ready:
-                    ready[host] = json.loads(shared.value[host]) if host in shared.value else None
+                    ready[host] = Known(*shared.value[host]) if host in shared.value else None
                 return ready[host]
 
             for b in batches:
-                yield from _extracted(zip(*(b[c].to_pylist() for c in ("page_id", "host", "html"))), find).to_batches()
+                yield from work(zip(*(b[c].to_pylist() for c in ("page_id", "host", "html"))), find).to_batches()
+
+        return rows.mapInArrow(run, schema)
+
+    def shuffled(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = Known(right["template"][0].as_py(), right["site"][0].as_py()) if right.num_rows else None
+        return work(zip(*(left[c].to_pylist() for c in ("page_id", "host", "html"))), lambda host: t)
 
-        return rows.mapInArrow(run, RESULT)
     # more templates than fit: pages go to their host's, those of a large host to several copies of it
     salts = rows.groupBy("host").agg(F.ceil(F.count("*") / 5000).cast("int").alias("salts"))
     keyed = rows.join(salts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.col("salts")).cast("int")).drop("salts")
-    copies = known.join(salts, "host").select("host", "template", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return keyed.groupBy("host", "salt").cogroup(copies.groupBy("host", "salt")).applyInArrow(_shuffled, RESULT)
+    copies = known.join(salts, "host").select("host", "template", "site", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return keyed.groupBy("host", "salt").cogroup(copies.groupBy("host", "salt")).applyInArrow(shuffled, schema)
+
+
+def site(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(host, site) of the hosts of which some is the site's; every text of every different page is counted."""
+    none = known.withColumn("site", F.lit(None).cast("array<int>"))
+    once = _with_templates(pages, none, _seen, SEEN).groupBy("host", "page").agg(F.first("nodes").alias("nodes"), F.first("texts").alias("texts"))
+    each = once.select("host", F.explode(F.arrays_zip("nodes", "texts")).alias("x")).select("host", F.col("x.nodes").alias("node"), F.col("x.texts").alias("text"))
+    counts = each.groupBy("host", "node", "text").agg(F.count("*").alias("n"))
+    by = counts.groupBy("host", "node").agg(F.max(F.expr("if(text IS NULL, n, 0)")).alias("pages"), F.count("text").alias("different"), F.sum(F.expr("if(text IS NULL, 0, n)")).alias("all"))
+    return by.where(F.col("pages") > 1).where(F.col("different") <= CONSTANT * F.col("all")).groupBy("host").agg(F.collect_list("node").alias("site"))
+
+
+def content(pages: DataFrame) -> DataFrame:
+    """(page_id, host, content, n_content, n_template) of every page."""
+    known = cut(templates(pages))
+    return _with_templates(pages, cut(known.join(site(pages, known), "host", "left")), _extracted, RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -167,6 +168,13 @@ def test_wrapper_learns_a_late_layout(spark):
     assert all(r.content == f"Late {r.page_id}." and r.n_template == 1 for r in got)
 
 
+def test_wrapper_counts_texts_exactly(spark):
+    texts = [t for i in range(1000) if zlib.crc32((t := f"Word {i} of it.").encode()) > 1 << 31][:320]
+    rows = [(i, f"http://a.com/{i}", f"<h1>Site</h1><p>{t}</p>") for i, t in enumerate(texts)]
+    got = html_extract.content(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.content for r in got) == sorted(texts)
+
+
 def test_tree_matching_is_greatest():
     a, b = html_extract.parse("<ul><li>1</li><b>x</b><li>2</li></ul>"), html_extract.parse("<ul><b>x</b><li>2</li></ul>")
     assert html_extract.weight(a, b, {}) == 6
