@@ -8,13 +8,16 @@ the number of matched nodes is greatest; nodes of a page that match nothing are
 added, and none is taken out. Templates of parts of the table are merged by the
 same alignment, in rounds, until there is one a host. Then each page is aligned
 with its template, and Spark counts every text of every node by 64-bit hashes:
-text of a node whose texts repeat over the pages is the site's (a constant, or one
-of a few that rotate); all other text is content.
+a text is the site's if it is on more than half of the pages that have its node (a
+constant), or if it is on two or more and more than half of the node's texts are
+such (one of some that rotate). All other text, also a single one among those that
+repeat, is content.
 
 Defined results: a null or empty html has null or empty content; a null url, or
 a host with one page, has no template, so all visible text is content; a null id
 is carried along; rows whose structure and texts are the same count as one page.
-Script, style, head and comments are
+Pages that differ from a copy in some text are pages of their own: where they are
+more than half of a host's, what they share is the site's. Script, style, head and comments are
 never content.
 """
 
@@ -35,13 +38,10 @@ PIECE = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|title)\b[
 CLASS = re.compile(r"\bclass\s*=\s*[\"']?([^\"'>]*)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: A text node's texts are the site's if there are at most so many different ones for each occurrence, on different pages.
-CONSTANT = 0.5
 FAN = 16
 #: Hosts of which a task keeps a template at once.
 HELD = 2000
 DEPTH = 100
-
 #: What can be in a run of like siblings that is kept as one node: text, its markup, items and cells.
 INLINE = frozenset("#text a abbr b bdi bdo br cite code data dd del dfn dt em font i img input ins kbd label li mark option q s samp small span strong sub sup tbody td tfoot th thead time tr u var wbr".split())
 #: Structures that a task keeps for a host; more are aligned again.
@@ -321,9 +321,13 @@ class Known:
     """A host's template and what of it is the site's."""
 
     def __init__(self, template: str, site):
-        self.tree, self.kept, self.site = json.loads(template), {}, set(site or ())
+        self.tree, self.kept, self.site = json.loads(template), {}, {x["node"]: set(x["texts"]) for x in site or ()}
         number(self.tree)
 
+    def has(self, node: int, text: str) -> bool:
+        """Whether this text of a node is the site's."""
+        return node in self.site and digest(text) in self.site[node]
+
     def slots(self, tree: list, form: str, n: int) -> list[int]:
         """As of slots; the nodes of a structure met before are taken from there."""
         leaves: list[list[int]] = []
@@ -360,7 +364,7 @@ def _extracted(rows, find) -> pa.Table:
             if (known := find(host)) is None:
                 texts = every
             else:
-                texts = [x for x, node in zip(every, known.slots(tree, form, len(every))) if node not in known.site]
+                texts = [x for x, node in zip(every, known.slots(tree, form, len(every))) if not known.has(node, x)]
         for c, v in zip(cols, (page_id, host, None if page is None else "\n".join(texts), len(texts), len(every) - len(texts))):
             c.append(v)
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
@@ -371,7 +375,7 @@ SEEN = "host string, page long, nodes array<int>, texts array<long>"
 
 
 def _seen(rows, find) -> pa.Table:
-    """For each page of a host a hash of it, and each (node, hash of text); a null text stands for all of a node."""
+    """For each page of a host a hash of it, and each (node, hash of text); a null text stands for any."""
     cols: list[list] = [[], [], [], []]
     for _, host, page in rows:
         if page is None or (known := find(host)) is None:
@@ -388,7 +392,7 @@ def _seen(rows, find) -> pa.Table:
 def _with_templates(pages: DataFrame, known: DataFrame, work, schema: str) -> DataFrame:
     """work on all pages, each with what is known of its host: (host, template, site)."""
     rows = _pages(pages)
-    if (known.agg(F.sum(F.octet_length("template") + 16 * F.greatest(F.size("site"), F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES:
+    if (known.agg(F.sum(F.octet_length("template") + F.coalesce(F.expr("aggregate(site, 0L, (n, x) -> n + 16 + 8 * size(x.texts))"), F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES:
         shared = pages.sparkSession.sparkContext.broadcast({r.host: (r.template, r.site) for r in known.collect()})
 
         def run(batches):
@@ -416,14 +420,24 @@ def _with_templates(pages: DataFrame, known: DataFrame, work, schema: str) -> Da
     return keyed.groupBy("host", "salt").cogroup(copies.groupBy("host", "salt")).applyInArrow(shuffled, schema)
 
 
+SITE = "array<struct<node:int,texts:array<long>>>"
+
+
 def site(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(host, site) of the hosts of which some is the site's; every text of every different page is counted."""
-    none = known.withColumn("site", F.lit(None).cast("array<int>"))
+    none = known.withColumn("site", F.lit(None).cast(SITE))
     once = _with_templates(pages, none, _seen, SEEN).groupBy("host", "page").agg(F.first("nodes").alias("nodes"), F.first("texts").alias("texts"))
     each = once.select("host", F.explode(F.arrays_zip("nodes", "texts")).alias("x")).select("host", F.col("x.nodes").alias("node"), F.col("x.texts").alias("text"))
     counts = each.groupBy("host", "node", "text").agg(F.count("*").alias("n"))
-    by = counts.groupBy("host", "node").agg(F.max(F.expr("if(text IS NULL, n, 0)")).alias("pages"), F.count("text").alias("different"), F.sum(F.expr("if(text IS NULL, 0, n)")).alias("all"))
-    return by.where(F.col("pages") > 1).where(F.col("different") <= CONSTANT * F.col("all")).groupBy("host").agg(F.collect_list("node").alias("site"))
+    again = "text IS NOT NULL AND n > 1"
+    by = counts.groupBy("host", "node").agg(
+        F.max(F.expr("if(text IS NULL, n, 0)")).alias("pages"),
+        F.sum(F.expr("if(text IS NULL, 0, n)")).alias("all"),
+        F.sum(F.expr(f"if({again}, n, 0)")).alias("repeated"),
+        F.collect_list(F.expr(f"if({again}, struct(text, n), NULL)")).alias("x"),
+    )
+    found = by.select("host", "node", F.expr("transform(filter(x, t -> 2 * t.n > pages OR 2 * repeated > all), t -> t.text)").alias("texts")).where(F.size("texts") > 0)
+    return found.groupBy("host").agg(F.collect_list(F.struct("node", "texts")).alias("site"))
 
 
 def content(pages: DataFrame) -> DataFrame:

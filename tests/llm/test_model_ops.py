@@ -175,6 +175,17 @@ def test_wrapper_counts_texts_exactly(spark):
     assert sorted(r.content for r in got) == sorted(texts)
 
 
+def test_wrapper_keeps_single_texts_of_a_slot(spark):
+    rows = [(i, f"<h1>Site</h1><i>Ad {i % 5}</i><p>Text {i}.</p>") for i in range(60)]
+    rows += [(i, f"<h1>Site</h1><i>Ad {i % 5}</i><p>Mirrored {i // 2}.</p>") for i in range(60, 90)]  # a third is there twice
+    rows += [(90, "<h1>Site</h1><i>Only here</i><p>Text 90.</p>")]
+    want = {i: h.rpartition("<p>")[2][:-4] for i, h in rows} | {90: "Only here\nText 90."}
+    copies = [(i + 1000, h) for i, h in rows]  # identical pages are one
+    for part in (rows, rows + copies):
+        d = spark.createDataFrame([(i, "http://a.com/", h) for i, h in part], "page_id long, url string, html string")
+        assert {r.page_id: r.content for r in html_extract.content(d).collect()} == {i: want[i % 1000] for i, _ in part}
+
+
 def test_tree_matching_is_greatest():
     a, b = html_extract.parse("<ul><li>1</li><b>x</b><li>2</li></ul>"), html_extract.parse("<ul><b>x</b><li>2</li></ul>")
     assert html_extract.weight(a, b, {}) == 6
