@@ -129,17 +129,20 @@ def _flat(a: list, tag: str) -> bool:
     return a[TAG] == tag and len(k) == 1 and k[0][TAG] == "#text"
 
 
+def _alike(a: list, b: list) -> bool:
+    """Whether no match of a or of b can be better than that of both."""
+    return a[TAG] == b[TAG] and (not a[KIDS] and not b[KIDS] or _flat(a, a[TAG]) and _flat(b, b[TAG]))
+
+
 def pairs(x: list, y: list, memo: dict) -> list[tuple[int, int]]:
     """Matched children, in order."""
     n, m = len(x), len(y)
-    if n == m and all(a[TAG] == b[TAG] for a, b in zip(x, y)):
-        return list(zip(range(n), range(n)))
-    # what agrees at both ends needs no table
+    # leaves and plain nodes of one tag at both ends are in a best match
     lo = 0
-    while lo < n and lo < m and x[lo][TAG] == y[lo][TAG] and x[lo][TAG] not in ("p", "#text", "br", "div", "li"):
+    while lo < n and lo < m and _alike(x[lo], y[lo]):
         lo += 1
     hi = 0
-    while hi < n - lo and hi < m - lo and x[n - 1 - hi][TAG] == y[m - 1 - hi][TAG] and x[n - 1 - hi][TAG] not in ("p", "#text", "br", "div", "li"):
+    while hi < n - lo and hi < m - lo and _alike(x[n - 1 - hi], y[m - 1 - hi]):
         hi += 1
     out = [(i, i) for i in range(lo)]
     x_, y_ = x[lo : n - hi], y[lo : m - hi]

@@ -192,6 +192,29 @@ def test_tree_matching_is_greatest():
     assert html_extract.pairs(a[2][0][2], b[2][0][2], {}) == [(1, 0), (2, 1)]
 
 
+def test_tree_matching_with_repeated_siblings():
+    rng = random.Random(3)
+
+    def some(depth):
+        return [rng.choice(["section", "div", "ul"]), "", [some(depth - 1) for _ in range(rng.randrange(4))] if depth else [["#text", "", []]] * rng.randrange(2)]
+
+    def size(x, y):
+        return 1 + sum(size(x[2][i], y[2][j]) for i, j in html_extract.pairs(x[2], y[2], {}))
+
+    def greatest(x, y):  # every way to match, without a shortcut
+        if x[0] != y[0]:
+            return 0
+        best = [[0] * (len(y[2]) + 1) for _ in range(len(x[2]) + 1)]
+        for i, a in enumerate(x[2]):
+            for j, b in enumerate(y[2]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + greatest(a, b) if a[0] == b[0] else 0)
+        return 1 + best[-1][-1]
+
+    for _ in range(300):
+        a, b = ["#root", "", [some(2) for _ in range(3)]], ["#root", "", [some(2) for _ in range(rng.choice([2, 3, 4]))]]
+        assert size(a, b) == greatest(a, b)
+
+
 def test_pipeline_runs_and_drops_what_it_should(spark, tmp_path):
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     import corpus_pipeline
