@@ -45,9 +45,11 @@ CANDIDATE = re.compile(
           | (?<![\w./+-])(?=[A-Za-z_-]{0,64}\d)(?=[\d_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{16,}(?![\w@]))""",
     re.X | re.I,
 )
-#: Where a candidate can be: around a digit or an at sign, with what leads up to it.
-NEAR = re.compile(r"\S*[0-9@]\S*")
+#: Every candidate has one of these: a digit, an at sign or the name of a secret.
+NEAR = re.compile(r"[\d@]|token|passw(?:or)?d|passwd|pwd|secret|api_?key|access_?key|auth", re.I)
+#: It begins at most LEAD characters before the first, and from TAIL after the last on it has no white space.
 LEAD, TAIL = 64, 48
+SPACE = re.compile(r"\s")
 STRICT = {
     "email": re.compile(r"[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
     "ip": re.compile(r"(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}"),
@@ -118,7 +120,11 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
     out, done, at = [], 0, 0
     regions: list[list[int]] = []
     for n in NEAR.finditer(text):
-        lo, hi = max(0, n.start() - LEAD), min(len(text), n.end() + TAIL)
+        lo, hi = max(0, n.start() - LEAD), n.end() + TAIL
+        if regions and hi <= regions[-1][1]:
+            continue
+        end = SPACE.search(text, hi)
+        hi = end.start() if end else len(text)
         if regions and lo <= regions[-1][1]:
             regions[-1][1] = hi
         else:
@@ -189,10 +195,6 @@ def train_spans(rows: list[tuple[str, str, str, int]], post: dict[tuple[str, str
     return w
 
 
-def _with_candidates(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").rlike("[0-9@]"))  # every candidate has one of these
-
-
 CANDIDATES = "doc_id long, start int, end int, kind string, votes string, shape string"
 
 
@@ -204,7 +206,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "start", "end", "kind", "votes", "shape"])
 
-    return _with_candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, CANDIDATES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").mapInArrow(run, CANDIDATES)
 
 
 def fit(spans: DataFrame) -> Model:
@@ -247,9 +249,8 @@ def redact(docs: DataFrame) -> DataFrame:
     model = fit(cut(candidates(docs)))
 
     def run(batches):
-        has = re.compile("[0-9@]")
         for b in batches:
-            texts = [t if t is None or not has.search(t) else redact_text(t, model) for t in b["text"].to_pylist()]
+            texts = [t if t is None else redact_text(t, model) for t in b["text"].to_pylist()]
             cols = [pa.array(texts, f.type) if f.name == "text" else c for f, c in zip(b.schema, b.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
