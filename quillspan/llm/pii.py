@@ -31,8 +31,6 @@ from quillspan.llm.common import cut, read
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("regex", "shape", "gazetteer", "context", "isolation")
 THRESHOLD = 0.5
-#: Bound of the distinct (kind, votes, shape) rows that the span classifier is trained on; EM uses all.
-TRAIN_PATTERNS = 20_000
 SHAPE_BUCKETS = 64
 WINDOW = 48
 
@@ -176,15 +174,15 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> tuple[
     return prior, acc.tolist(), dict(zip(pats, post.tolist()))
 
 
-def train_spans(rows: list[tuple[str, str, str, int]], post: dict[tuple[str, str], float], steps: int = 300) -> np.ndarray:
-    """Weights of a logistic span classifier on (kind, votes, shape, count) with EM's posteriors as soft labels."""
+def train_spans(rows: list[tuple[str, str, str, float]], post: dict[tuple[str, str], float], steps: int = 300) -> np.ndarray:
+    """Weights of a logistic span classifier on (kind, votes, shape, weight) with EM's posteriors as soft labels."""
     w = np.zeros(6 + 75 + SHAPE_BUCKETS)
     if not rows:
         w[0] = -1.0
         return w
     x = np.array([features(k, v, s) for k, v, s, _ in rows])
     y = np.array([post[k, v] for k, v, _, _ in rows])
-    c = np.sqrt(np.array([n for *_, n in rows], float))
+    c = np.array([n for *_, n in rows], float)
     c /= c.sum()
     rate = np.zeros_like(w) + 1e-8
     for _ in range(steps):
@@ -210,7 +208,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit(spans: DataFrame) -> Model:
-    """EM over the counts of all vote patterns, then the span classifier. At most 3**5 patterns a kind reach the driver."""
+    """EM over the counts of all vote patterns, then the span classifier. At most 3**5 patterns a kind, times SHAPE_BUCKETS, reach the driver."""
     by: dict[str, dict[str, int]] = {}
     for r in spans.groupBy("kind", "votes").count().collect():
         by.setdefault(r.kind, {})[r.votes] = r["count"]
@@ -218,7 +216,9 @@ def fit(spans: DataFrame) -> Model:
     for kind, counts in by.items():
         prior[kind], rel[kind], p = expectation_maximisation(counts)
         post |= {(kind, v): x for v, x in p.items()}
-    rows = spans.groupBy("kind", "votes", "shape").count().orderBy(F.xxhash64("kind", "votes", "shape"), "kind", "votes", "shape").limit(TRAIN_PATTERNS).collect()
+    shapes = spans.groupBy("kind", "votes", "shape").count().withColumn("bucket", F.crc32(F.concat_ws(":", "kind", "shape").cast("binary")) % SHAPE_BUCKETS)
+    rows = shapes.groupBy("kind", "votes", "bucket").agg(F.min("shape").alias("shape"), F.sum(F.sqrt("count")).alias("weight"))
+    rows = rows.select("kind", "votes", "shape", "weight").orderBy("kind", "votes", "bucket").collect()
     return Model(prior, rel, train_spans([tuple(r) for r in rows], post))
 
 

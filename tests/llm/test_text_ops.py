@@ -220,6 +220,15 @@ def test_every_candidate_is_found():
     assert pii.find("password: CorrectHorseBattery")[0][:3] == (0, 29, "secret")
 
 
+def test_every_shape_is_trained_on(spark):
+    many = spark.range(150_000).selectExpr("'secret' kind", "'+----' votes", "concat('aA', id) shape")
+    few = spark.range(150_000).selectExpr("'ip' kind", "'+++++' votes", "'9.9.9.9' shape")
+    model = pii.fit(many.unionByName(few))
+    w = pii.train_spans([("ip", "+++++", "9.9.9.9", 150_000**0.5)] + [("secret", "+----", f"aA{i}", 1.0) for i in range(150_000)], {("ip", "+++++"): pii.expectation_maximisation({"+++++": 150_000})[2]["+++++"], ("secret", "+----"): pii.expectation_maximisation({"+----": 150_000})[2]["+----"]})
+    assert np.allclose(model.weights, w, atol=1e-6)
+    assert abs(model.weights[pii.features("ip", "+++++", "9.9.9.9")[2:]]).min() > 0
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = random.Random(0)
     counts: dict = {}
