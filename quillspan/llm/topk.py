@@ -32,7 +32,8 @@ PIVOT_ROWS = 1024
 BLOCK = 2048
 #: Blocks whose ranges travel together.
 BUNDLE = 8192
-SLACK = 1e-5  # bounds are kept in single precision
+#: Bounds are kept in single precision: a least slack, and one for each unit of the greatest pivot distance.
+SLACK, ROUNDING = 1e-5, 4 * float(np.finfo(np.float32).eps)
 
 
 def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
@@ -80,6 +81,7 @@ def search_block(q_id, q, q_pd, tau, x_id, x, x_pd, k: int) -> tuple[np.ndarray,
     x64, q64 = x.astype(np.float64), q.astype(np.float64)
     xt, sx, out = np.ascontiguousarray(x_pd.T), (x64 * x64).sum(axis=1), []
     first = min(len(x), max(64, 4 * k))
+    slack = SLACK + ROUNDING * max(float(q_pd.max(initial=0)), float(x_pd.max(initial=0)))
     for a in range(0, len(q), 256):
         v, limit, me = q64[a : a + 256], tau[a : a + 256].copy(), q_id[a : a + 256]
         bound, gap = np.zeros((len(v), len(x)), np.float32), np.empty((len(v), len(x)), np.float32)
@@ -94,7 +96,7 @@ def search_block(q_id, q, q_pd, tau, x_id, x, x_pd, k: int) -> tuple[np.ndarray,
         if first >= k:
             np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1], out=limit)
         # then those that the distances found so far don't stop
-        go = bound <= (limit + SLACK)[:, None]
+        go = bound <= (limit + slack)[:, None]
         np.put_along_axis(go, near, False, axis=1)
         r, c = np.nonzero(go)
         if len(r):
@@ -158,7 +160,8 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
                 pd, tau = np.frombuffer(d, np.float32).reshape(-1, width), np.frombuffer(t, np.float64)
                 for r in sorted(targets, key=lambda r: r["block"]):
                     lo, hi = np.array(r["lo"], np.float32), np.array(r["hi"], np.float32)
-                    go = np.maximum(lo - pd, pd - hi).max(axis=1) <= tau + SLACK
+                    slack = SLACK + ROUNDING * max(float(pd.max(initial=0)), float(hi.max()))
+                    go = np.maximum(lo - pd, pd - hi).max(axis=1) <= tau + slack
                     if go.any():
                         cols = (r["block"], ids[go].tobytes(), x[go].tobytes(), pd[go].tobytes(), tau[go].tobytes())
                         yield pa.RecordBatch.from_arrays([pa.array([c], ty) for c, ty in zip(cols, (pa.int64(), *[pa.binary()] * 4))], names=[c.split()[0] for c in QUERIES.split(", ")])

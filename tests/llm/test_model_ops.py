@@ -33,6 +33,19 @@ def test_topk_is_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5)
 
 
+def test_topk_of_far_vectors():
+    rng = np.random.default_rng(1)
+    x = (rng.normal(0, 1e-3, (400, 4)) + np.array([1000.0, 0, 0, 0])).astype(np.float32)
+    pivots = np.array([[-1000.0, 0, 0, 0], [3000.0, 5, 0, 0], [0, 2000.0, 1, 1]])
+    pd = np.sqrt(((x[:, None].astype(float) - pivots) ** 2).sum(axis=2)).astype(np.float32)
+    d = np.sqrt(((x[:, None].astype(float) - x.astype(float)) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    tau = np.sort(d, axis=1)[:, 4] * (1 + 1e-6)
+    q, n, _ = topk.search_block(np.arange(400), x, pd, tau, np.arange(400), x, pd, 5)
+    want = {(i, j) for i in range(400) for j in np.flatnonzero(d[i] <= np.sort(d[i])[4])}
+    assert want <= set(zip(q.tolist(), n.tolist()))
+
+
 def test_topk_of_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [5.0, 0.0]), (8, [])]
     d = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<float>, distance double")
