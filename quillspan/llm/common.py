@@ -211,12 +211,39 @@ def small(df: DataFrame, width: int = 16) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
+#: Edges that one task links, 16 bytes each; beyond, they are linked over the table.
+LINKED_AT_ONCE = 4_000_000
+
+
+def linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes is linked with by edges (a, b), itself where there is none."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label != (up := label[label])).any():
+            label = up
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _link(t: pa.Table) -> pa.Table:
+    a, b = t["a"].to_numpy(), t["b"].to_numpy()
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return pa.table([pa.array(nodes), pa.array(nodes[linked(at[: len(a)], at[len(a) :], len(nodes))])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected components of edges (a, b); root is the smallest node.
+    """(node, root) of the connected components of edges (a, b), already cut; root is the smallest node.
 
-    Alternates two steps until nothing changes: neighbours take the least label
-    around them, and labels jump to their label's label. Each round is cut.
+    Up to LINKED_AT_ONCE edges, counted, are linked in one task. More alternate two
+    steps until nothing changes: neighbours take the least label around them, and
+    labels jump to their label's label. Each round is cut.
     """
+    if edges.count() <= LINKED_AT_ONCE:
+        return cut(edges.select("a", "b").groupBy(F.lit(0).alias("all")).applyInArrow(_link, "node long, root long"))
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = both.unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
     label = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("root")))

@@ -1,31 +1,36 @@
 """N-gram Jaccard self-join with a prefix tree.
 
-A document is the set of its word n-grams, as hashes (words are runs of letters
-and digits, ASCII case folded). The join finds every pair of documents whose
-sets' Jaccard similarity reaches the threshold t; it is exact but for collisions
-of the hash, whose width grows with the table.
-
-1. Each shard of documents sends its n-grams, as sorted packed blocks, to hash
-   ranges; a range counts for each n-gram in how many distinct sets it is, over
-   the whole table. An n-gram of only one set can't match and is dropped.
-2. The rest goes back by set. A set of size s has a partner only if at least
-   ceil(t*s) of its n-grams are left, so most sets end here. Global order is
-   (frequency, hash), rarest first; sets that share an n-gram of their prefixes
-   of s - ceil(t*s) + 1 n-grams, those dropped counted, are connected.
+A document is the set of its word n-grams, as 56-bit hashes (words are runs of
+letters and digits, ASCII case folded). The join finds every pair of different
+sets whose Jaccard similarity reaches the threshold t; it is exact but for
+collisions of the hash.
+
+1. Parts of the table of about FLUSH n-grams (flushes) keep each different set
+   once, and send their distinct n-grams, with counts, to hash ranges. A range
+   adds the counts up, for each n-gram over the whole table, and answers every
+   flush; so an n-gram or a set that a third of all rows have is one entry a
+   flush there. Sets go the same way: the flush with the least id keeps the set.
+2. A set that f flushes have shares an n-gram with another one only if the
+   n-gram's count is over f; the rest can't match and is dropped. A set of size s
+   has a partner only if at least ceil(t*s) are left, so most sets end here.
+   Global order is (count, hash), rarest first; sets that share an n-gram of their
+   prefixes of s - ceil(t*s) + 1 n-grams, those dropped counted, are connected.
 3. Each connected component is joined by a trie over the ordered sets with
-   compressed edges: a probe carries the overlap so far down shared paths, and a
-   subtree is left as soon as overlap plus the shorter remaining length can't
-   reach what the sizes below require. Components of over BLOCK sets are joined
-   block against block, so that no task holds more than two blocks.
-
-Documents of equal sets are one set with a list of ids, so groups of copies cost
-as much as one document. Result rows: kind "same" has in docs_a all ids of one
-set (two or more); kind "near" says that every id of docs_a and every id of
-docs_b have this Jaccard similarity.
-
-Defined results: documents without a word, null texts and null ids have no
-partner; a text of fewer than n words is one n-gram of all its words; rows that
-repeat an id count once a set; other columns play no part.
+   compressed edges: overlaps are carried down shared paths, for many probes at
+   once; a subtree is left if no prefix in it meets the probe's, or as soon as
+   overlap plus the shorter remaining length can't reach what the sizes below
+   require. Components of over BLOCK sets are cut into bands of sizes, of which
+   only neighbours can match, and these into blocks joined block against block.
+4. Each task links what it found; only components of several tasks are linked
+   again over the table.
+
+Defined results (`classes`): one row for each row of the table. A document
+without a word and a null text have no partner and are their own class; a null
+id has a null class and no links; a text of fewer than n words is one n-gram of
+all its words, very long texts are sets like any other; a repeated row, or
+another text of the same n-grams, is a copy that counts as a link; of ties the
+smallest id names the class; an empty table gives no rows; other columns play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,192 +42,196 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import buffers, components, cut, mix64, ngram_keys, planes, read, release, shards, slices, small, spread, unplanes
+from quillspan.llm.common import buffers, components, cut, linked, mix64, ngram_keys, planes, read, release, shards, slices, small, spread, unplanes
 
 N = 3
 THRESHOLD = 0.6
-#: Bits of a hash within its range; with a range for each RANGE_BYTES of input, about one false share in 10,000.
-REST_BITS = 36
+#: Bytes of a hash: one false share in 100,000 n-grams of a table of 10**12.
+WIDTH = 7
 #: Estimated input bytes for each hash range.
 RANGE_BYTES = 16 << 20
-WIDTH = 6
-IDX_BITS = 12
-#: N-grams that a task holds before it sends them.
-FLUSH = 1_000_000
-BLOCK = 2048
+#: N-grams that a task holds before it sends them, at least; with many ranges more, so that a row for a range stays long.
+FLUSH, MOST_FLUSH, EACH_ROW = 1_000_000, 8_000_000, 64
+#: Sets that are joined at once, and their n-grams.
+BLOCK, BLOCK_GRAMS = 2048, 2_000_000
+#: Places that the trie looks at in one step, and the size of the table of a group of probes.
+STEP, TABLE = 4_000_000, 16_000_000
 
 
 def _needed(t: float, size):
     return np.ceil(t * np.asarray(size, float) - 1e-9).astype(np.int64)
 
 
-def _slice_sets(raw: np.ndarray, offs: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct n-grams of each row, sorted by row; hashes have so many bits."""
+def _slice_sets(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct n-grams of each of at most 256 rows, sorted by both."""
     row, key = ngram_keys(raw, offs, n)
-    k = np.sort((row.astype(np.uint64) << np.uint64(bits)) | (key >> np.uint64(64 - bits)))
+    bits = np.uint64(8 * WIDTH)
+    k = np.sort((row.astype(np.uint64) << bits) | (key >> (np.uint64(64) - bits)))
     if len(k):
         k = k[np.concatenate([[True], k[1:] != k[:-1]])]
-    return (k >> np.uint64(bits)).astype(np.int64), k & np.uint64((1 << bits) - 1)
+    return (k >> bits).astype(np.int64), k & ((np.uint64(1) << bits) - np.uint64(1))
 
 
-STAGE1 = "r int, sigs binary, grams binary, dsig binary, dsize binary, ids binary"
+#: k: a hash range, or below 0 a place for what a flush keeps for itself. In a range's row: n-grams, their counts, sets, least ids, numbers of rows.
+#: In a flush's own: numbers of n-grams set by set, sizes, sets, ids of its rows, numbers of their sets. Answers: n-grams, counts, for each set its flushes and rows, places.
+SENT = "k int, flush long, lo int, grams binary, counts binary, sigs binary, ids binary, many binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * 8
+    types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in SENT.split(", ")])
 
 
 def _sender(n: int, ranges: int):
-    bits = REST_BITS + ranges.bit_length() - 1
-    rows_each = min(1 << IDX_BITS, 1 << (64 - bits))
+    most = max(FLUSH, min(MOST_FLUSH, ranges * EACH_ROW))
+    edges = np.arange(1, ranges, dtype=np.uint64)
+    gram_edges, sig_edges = edges << np.uint64(8 * WIDTH - (ranges.bit_length() - 1)), edges << np.uint64(64 - (ranges.bit_length() - 1)) if ranges > 1 else edges
 
     def run(batches):
-        held: list[tuple] = []
-        size = docs = 0
-
-        def flush():
-            base = np.cumsum([0] + [len(h[0]) for h in held])
-            ids, sizes, sigs = (np.concatenate([h[i] for h in held]) for i in range(3))
-            packed = np.concatenate([(h[4] << np.uint64(IDX_BITS)) | (h[3] + b).astype(np.uint64) for h, b in zip(held, base)])
-            packed.sort()
-            cuts = np.searchsorted(packed, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(REST_BITS + IDX_BITS)) if ranges > 1 else np.array([0, len(packed)])
-            cuts[-1] = len(packed)
-            home = (sigs >> np.uint64(33)).astype(np.int64) % ranges
-            out: list[list] = [[] for _ in range(6)]
-            mask = np.uint64((1 << (REST_BITS + IDX_BITS)) - 1)
-            low = np.uint64((1 << IDX_BITS) - 1)
-            for r in np.union1d(np.flatnonzero(np.diff(cuts)), home).tolist():
-                part = packed[cuts[r] : cuts[r + 1]] & mask
-                mine = home == r
-                used = np.zeros(len(ids), bool)
-                used[(part & low).astype(np.int64)] = True
-                to = np.cumsum(used) - 1
-                part = (part & ~low) | to[(part & low).astype(np.int64)].astype(np.uint64)
-                for o, x in zip(out, (r, sigs[used].tobytes(), planes(part, WIDTH), sigs[mine].tobytes(), sizes[mine].tobytes(), ids[mine].tobytes())):
-                    o.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], names=["r", "sigs", "grams", "dsig", "dsize", "ids"])
+        from pyspark import TaskContext
+
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush(name: int) -> pa.Table:
+            ids, sizes, sigs, grams = (np.concatenate([h[i] for h in held]) for i in range(4))
+            none = sizes == 0
+            uniq, first, member = np.unique(sigs[~none], return_index=True, return_inverse=True)
+            at = np.cumsum(sizes) - sizes
+            at, sizes = at[~none][first], sizes[~none][first]
+            many = np.bincount(member, minlength=len(uniq))
+            least = np.full(len(uniq), np.iinfo(np.int64).max)
+            np.minimum.at(least, member, ids[~none])
+            own = grams[spread(at, sizes)]
+            different, inv = np.unique(own, return_inverse=True)
+            count = np.bincount(inv, minlength=len(different))
+            gc = np.concatenate([[0], np.searchsorted(different, gram_edges), [len(different)]])
+            sc = np.concatenate([[0], np.searchsorted(uniq, sig_edges), [len(uniq)]])
+            whose = np.full(len(ids), -1, np.int32)
+            whose[~none] = member
+            rows = [(-1 - name % ranges, name, 0, planes(inv.astype(np.uint64), 4), sizes.astype(np.int32).tobytes(), uniq.tobytes(), ids.tobytes(), whose.tobytes())]
+            for r in range(ranges):
+                a, b, c, d = gc[r], gc[r + 1], sc[r], sc[r + 1]
+                if a < b or c < d:
+                    rows.append((r, name, int(a), planes(different[a:b], WIDTH), planes(count[a:b].astype(np.uint64), 4), uniq[c:d].tobytes(), least[c:d].tobytes(), many[c:d].astype(np.int64).tobytes()))
+            return _table(rows)
 
         for b in batches:
             ident = b["id"].to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offs = buffers(b["text"])
-            for i, j in slices(offs, rows_each):
-                if docs + j - i > 1 << IDX_BITS or size > FLUSH:
-                    if held:
-                        out = flush()
-                        held.clear()
-                        release()
-                        yield out
-                    size = docs = 0
-                row, h = _slice_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n, bits)
+            for i, j in slices(offs, 1 << (64 - 8 * WIDTH)):
+                row, h = _slice_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 count = np.bincount(row, minlength=j - i)
-                has = np.flatnonzero(count)
-                if not len(has):
-                    continue
-                first = np.searchsorted(row, has)
-                sig = mix64(np.add.reduceat(mix64(h + np.uint64(1)), first) ^ count[has].astype(np.uint64))
-                new = np.cumsum(count > 0) - 1
-                held.append((ident[i:j][has], count[has].astype(np.int32), sig, new[row], h))
-                size, docs = size + len(h), docs + len(has)
+                sig = np.zeros(j - i, np.uint64)
+                if len(has := np.flatnonzero(count)):
+                    sig[has] = mix64(np.add.reduceat(mix64(h + np.uint64(1)), np.searchsorted(row, has)) ^ count[has].astype(np.uint64))
+                held.append((ident[i:j], count, sig, h))
+                size += len(h) + j - i
+                if size >= most:
+                    out, size = flush((part << 32) + seq), 0
+                    held, seq = [], seq + 1
+                    release()
+                    yield from out.to_batches()
         if held:
-            out = flush()
-            held.clear()
+            out = flush((part << 32) + seq)
+            held = []
             release()
-            yield out
+            yield from out.to_batches()
 
     return run
 
 
-STAGE2 = "p int, sigs binary, many binary, grams binary, df binary, dsig binary, dsize binary, ids binary"
-
-
-def _counter(ranges: int):
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        r = key[0].as_py()
-        sigs = [np.frombuffer(x.as_py(), np.uint64) for x in t["sigs"]]
-        uniq, inv = np.unique(np.concatenate(sigs), return_inverse=True)
-        low, shift = np.uint64((1 << IDX_BITS) - 1), np.uint64(64 - REST_BITS)
-        if len(uniq) >= 1 << (64 - REST_BITS):
-            raise ValueError("a hash range holds too many sets; lower RANGE_BYTES")
-        pairs, base = [], 0  # (n-gram, set) in one word, to sort in place; equal sets count once
-        for g, s in zip(t["grams"], sigs):
-            p = unplanes(g.as_py(), WIDTH)
-            pairs.append(((p >> np.uint64(IDX_BITS)) << shift) | inv[base + (p & low).astype(np.int64)].astype(np.uint64))
-            base += len(s)
-        pairs = np.concatenate(pairs)
-        pairs.sort()
-        if len(pairs):
-            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-        h = pairs >> shift
-        who = (pairs & np.uint64((1 << (64 - REST_BITS)) - 1)).astype(np.int32)
-        del pairs
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        run_ = np.diff(np.append(begin, len(h)))
-        df = np.repeat(run_, run_)
-        keep = df > 1
-        h, who, df = h[keep], who[keep], df[keep].astype(np.int64)
-        order = np.argsort(who, kind="stable")  # uniq is sorted, so by set; within it by hash
-        h, who, df = h[order] | np.uint64(r << REST_BITS), who[order], df[order]
-        there, many = np.unique(who, return_counts=True)
-        home = (uniq[there] >> np.uint64(33)).astype(np.int64) % ranges
-        ends = np.cumsum(many)
-        doc = [np.concatenate([np.frombuffer(x.as_py(), k) for x in t[c]]) for c, k in (("dsig", np.uint64), ("dsize", np.int32), ("ids", np.int64))]
-        out: list[list] = [[] for _ in range(8)]
-        for p in np.unique(np.append(home, r)).tolist():
-            m = home == p
-            at = spread(ends[m] - many[m], many[m])
-            mine = there[m]
-            extra = [d.tobytes() for d in doc] if p == r else [b"", b"", b""]
-            for o, x in zip(out, (p, uniq[mine].tobytes(), many[m].astype(np.int32).tobytes(), planes(h[at], 8), planes(df[at], 4), *extra)):
-                o.append(x)
-        del h, who, df, inv
-        release()
-        return pa.table([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], names=[x.split()[0] for x in STAGE2.split(", ")])
-
-    return run
-
-
-STAGE3 = "sig long, size int, ids array<long>, grams array<long>, ranks array<int>, prefix int"
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, run of each place) of the runs that begin where new is true."""
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _counter(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    r = key[0].as_py()
+    if r < 0:
+        return t
+    flush, lo = t["flush"].to_pylist(), t["lo"].to_pylist()
+    grams, count = ([unplanes(x.as_py(), w) for x in t[c]] for c, w in (("grams", WIDTH), ("counts", 4)))
+    sigs, ids, many = ([np.frombuffer(x.as_py(), k) for x in t[c]] for c, k in (("sigs", np.uint64), ("ids", np.int64), ("many", np.int64)))
+    g_at, s_at = (np.concatenate([[0], np.cumsum([len(x) for x in xs])]) for xs in (grams, sigs))
+    g = np.concatenate(grams)
+    order = np.argsort(g)
+    s = g[order]
+    total = np.zeros(len(g), np.int64)
+    if len(g):
+        begin, run = _runs(np.concatenate([[True], s[1:] != s[:-1]]))
+        total[order] = np.add.reduceat(np.concatenate(count)[order].astype(np.int64), begin)[run]
+    # of equal sets the one with the least id stays, of these that of the first flush
+    sig, sid, sm = np.concatenate(sigs), np.concatenate(ids), np.concatenate(many)
+    owner = np.repeat(np.array(flush, np.int64), np.diff(s_at))
+    order = np.lexsort((owner, sid, sig))
+    s = sig[order]
+    flushes, rows = np.zeros(len(sig), np.int32), np.zeros(len(sig), np.int64)
+    if len(sig):
+        begin, run = _runs(np.concatenate([[True], s[1:] != s[:-1]]))
+        flushes[order] = np.bincount(run)[run]
+        rows[order[begin]] = np.add.reduceat(sm[order], begin)
+    out = []
+    for i, name in enumerate(flush):
+        d = total[g_at[i] : g_at[i + 1]]
+        keep = np.flatnonzero(d > 1)
+        out.append((r, name, lo[i], planes(grams[i][keep], WIDTH), planes(d[keep].astype(np.uint64), 4), flushes[s_at[i] : s_at[i + 1]].tobytes(), rows[s_at[i] : s_at[i + 1]].tobytes(), planes(keep.astype(np.uint64), 4)))
+    del g, total, grams, count
+    release()
+    return _table(out)
+
+
+#: A row for each document; n: rows of the set, at its least id alone, elsewhere 0; grams and ranks only there, and if the set can have a partner.
+SETS = "id long, sig long, n long, size int, grams array<long>, ranks array<int>, prefix int"
 
 
 def _assembler(t_min: float):
     def run(t: pa.Table) -> pa.Table:
-        cat = lambda c, k: np.concatenate([np.frombuffer(x.as_py(), k) for x in t[c]])
-        dsig, dsize, ids = cat("dsig", np.uint64), cat("dsize", np.int32), cat("ids", np.int64)
-        order = np.lexsort((ids, dsig))
-        dsig, dsize, ids = dsig[order], dsize[order], ids[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (dsig[1:] != dsig[:-1]) | (ids[1:] != ids[:-1])
-        dsig, dsize, ids = dsig[new], dsize[new], ids[new]
-        sets, at = np.unique(dsig, return_index=True)
-        upto = np.append(at[1:], len(ids))
-        sigs, many = cat("sigs", np.uint64), cat("many", np.int32).astype(np.int64)
-        grams = np.concatenate([unplanes(x.as_py(), 8) for x in t["grams"]])
-        df = np.concatenate([unplanes(x.as_py(), 4) for x in t["df"]]).astype(np.int64)
-        slot = np.searchsorted(sets, sigs)
-        total = np.bincount(slot, many, len(sets)).astype(np.int64)
-        size = dsize[at].astype(np.int64)
-        alive = total >= np.maximum(_needed(t_min, size), 1)
-        owner = np.repeat(slot, many)
-        ok = alive[owner]
-        grams, df, owner = grams[ok], df[ok], owner[ok]
-        order = np.lexsort((grams, df, owner))
-        grams, df, owner = grams[order], df[order], owner[order]
-        want = np.flatnonzero(alive | (upto - at > 1))
-        lo, hi = np.searchsorted(owner, want), np.searchsorted(owner, want, side="right")
-        offs = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
-        where = spread(lo, hi - lo)
-        ids_at = spread(at[want], upto[want] - at[want])
-        id_offs = np.concatenate([[0], np.cumsum(upto[want] - at[want])]).astype(np.int32)
+        order = np.argsort(t["k"].to_numpy(), kind="stable")
+        k = t["k"].to_pylist()
+        home, answers = int(order[0]), [int(i) for i in order if k[i] >= 0]
+        get = lambda i, c, kind: np.frombuffer(t[c][i].as_py(), kind)
+        size = get(home, "counts", np.int32).astype(np.int64)
+        sigs, ids, whose = get(home, "sigs", np.uint64), get(home, "ids", np.int64), get(home, "many", np.int32).astype(np.int64)
+        inv = unplanes(t["grams"][home].as_py(), 4).astype(np.int64)
+        gram, count = np.zeros(int(inv.max(initial=-1)) + 1, np.uint64), np.zeros(int(inv.max(initial=-1)) + 1, np.int64)
+        for i in answers:
+            at = unplanes(t["many"][i].as_py(), 4).astype(np.int64) + t["lo"][i].as_py()
+            gram[at], count[at] = unplanes(t["grams"][i].as_py(), WIDTH), unplanes(t["counts"][i].as_py(), 4)
+        cat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(get(i, c, kind) for i in answers)])
+        flushes, rows = cat("sigs", np.int32).astype(np.int64), cat("ids", np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        live = (count[inv] > flushes[owner]) & (rows[owner] > 0)
+        total = np.bincount(owner[live], minlength=len(size))
+        alive = (rows > 0) & (total >= np.maximum(_needed(t_min, size), 1))
+        live &= alive[owner]
+        at, owner = inv[live], owner[live]
+        order = np.lexsort((gram[at], count[at], owner))
+        at, owner = at[order], owner[order]
         # of the prefix, the n-grams of no other set come first and can't match
-        prefix = size[want] - _needed(t_min, size[want]) + 1 - (size[want] - total[want])
-        prefix = np.where(alive[want], prefix, 0)
-        return pa.table(
-            [
-                pa.array(sets[want].view(np.int64)),
-                pa.array(size[want].astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(id_offs), pa.array(ids[ids_at])),
-                pa.ListArray.from_arrays(pa.array(offs), pa.array(grams[where].astype(np.int64))),
-                pa.ListArray.from_arrays(pa.array(offs), pa.array(np.minimum(df[where], 2**31 - 1).astype(np.int32))),
-                pa.array(prefix.astype(np.int32)),
-            ],
-            names=[x.split()[0] for x in STAGE3.split(", ")],
-        )
+        prefix = np.where(alive, size - _needed(t_min, size) + 1 - (size - total), 0)
+        # a set's row is that of its least id
+        first = np.full(len(size), -1)
+        by = np.lexsort((ids, whose))
+        by = by[whose[by] >= 0]
+        new = np.ones(len(by), bool)
+        new[1:] = whose[by][1:] != whose[by][:-1]
+        first[whose[by][new]] = by[new]
+        main = np.zeros(len(ids), bool)
+        main[first[rows > 0]] = True
+        has, real = main & (whose >= 0), whose >= 0
+        w = np.where(real, whose, 0)
+        lo, hi = np.searchsorted(owner, np.arange(len(size))), np.searchsorted(owner, np.arange(len(size)), side="right")
+        many = np.where(has, (hi - lo)[w] if len(size) else 0, 0)
+        offs = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        where = at[spread(lo[w][has], many[has])] if len(size) else at
+        pick = lambda x: np.where(has, x[w], 0) if len(size) else np.zeros(len(ids), np.int64)
+        cols = [
+            pa.array(ids), pa.array(sigs.view(np.int64)[w] if len(size) else np.zeros(len(ids), np.int64), mask=~real), pa.array(pick(rows)), pa.array(pick(size).astype(np.int32)),
+            pa.ListArray.from_arrays(offs, pa.array(gram[where].astype(np.int64))), pa.ListArray.from_arrays(offs, pa.array(np.minimum(count[where], 2**31 - 1).astype(np.int32))),
+            pa.array(pick(prefix).astype(np.int32)),
+        ]
+        return pa.table(cols, names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -231,181 +240,234 @@ class Trie:
     """Ordered sets of small integers as a trie with compressed edges; level by level in flat arrays."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        self.sizes = sizes
-        # one level after another: (edge begin and end in `text`, children range in the next level, sets that end below)
-        self.levels: list[tuple[np.ndarray, ...]] = []
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.order = np.array(order, np.int64)
+        keys = [s.astype(">u4").tobytes() for s in sets]
+        order = sorted(range(len(sets)), key=keys.__getitem__)
+        self.order, self.sizes = np.array(order, np.int64), sizes[order]
         self.text = np.concatenate([sets[i] for i in order]) if order else np.zeros(0, np.int64)
-        length = np.array([len(sets[i]) for i in order], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64) if order else length
-        self.length, size = length, sizes[self.order]
+        self.length = length = np.array([len(sets[i]) for i in order], np.int64)
+        self.begin = np.cumsum(length) - length
         shared = np.zeros(len(order), np.int64)  # common path with the set before
         for k in range(1, len(order)):
             a, b = sets[order[k - 1]], sets[order[k]]
             m = min(len(a), len(b))
             diff = np.flatnonzero(a[:m] != b[:m])
             shared[k] = diff[0] if len(diff) else m
-        nodes = [(0, len(order), 0)] if order else []
+        #: rows of a level: sets from, to, path before, path after, sets that end after it up to, longest, least and greatest size, children from, to
+        self.levels: list[np.ndarray] = []
+        nodes = [(0, len(order), 0, -1)] if order else []
         while nodes:
             rows, nxt = [], []
-            for a, b, depth in nodes:
-                # children of a node: maximal runs of sets that agree on the path beyond depth
+            for a, b, depth, parent in nodes:
                 cuts = [a, *(a + 1 + np.flatnonzero(shared[a + 1 : b] <= depth)).tolist(), b]
+                if parent >= 0:
+                    self.levels[-1][parent, 8:] = len(rows), len(rows) + len(cuts) - 1
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     deep = int(min(length[x], shared[x + 1 : y].min())) if y - x > 1 else int(length[x])
-                    rows.append((x, y, depth, deep, int(length[x:y].max()), int(size[x:y].min()), int(size[x:y].max())))
-                    if y - x > 1:
-                        if deep > depth or any(length[x:y] > depth):
-                            nxt.append((len(rows) - 1, x, y, deep))
-            self.levels.append((np.array(rows, np.int64), nxt))
-            nodes = []
-            for i, x, y, deep in nxt:
-                # sets that end exactly here have no child edge
-                z = x
-                while z < y and length[z] == deep:
-                    z += 1
-                if z < y:
-                    nodes.append((z, y, deep))
-
-    def probe(self, grams: np.ndarray, size: int, mark: np.ndarray, t: float) -> list[tuple[int, int]]:
-        """(set, overlap) of every set that reaches t with a probe of these n-grams; mark is a zeroed scratch array."""
-        found: list[tuple[int, int]] = []
-        mark[grams] = 1
-        carried = {(0, len(self.order)): 0}
-        spans = [(0, len(self.order), 0)]
-        for rows, _ in self.levels:
-            if not carried:
-                break
-            starts = np.array(sorted(carried), np.int64)
-            # edges whose parent is alive
-            parent = np.searchsorted(starts[:, 0], rows[:, 0], side="right") - 1
-            ok = (parent >= 0) & (rows[:, 0] < starts[np.maximum(parent, 0), 1])
-            alive = rows[ok]
-            if not len(alive):
-                break
-            over = np.array([carried[tuple(starts[p])] for p in parent[ok]], np.int64)
-            lo = self.begin[alive[:, 0]] + alive[:, 2]
-            span = alive[:, 3] - alive[:, 2]
-            hits = np.concatenate([[0], np.cumsum(mark[self.text[spread(lo, span)]])])
-            ends = np.cumsum(span)
-            over = over + hits[ends] - hits[ends - span]
-            # least overlap that any size below needs, and the most that the remaining lengths allow
-            smallest = np.maximum(alive[:, 5], np.ceil(t * size - 1e-9).astype(np.int64))
-            need = np.ceil(t / (1 + t) * (size + smallest) - 1e-9)
-            most = np.minimum(over + np.minimum(alive[:, 4] - alive[:, 3], len(grams) - over), len(grams))
-            go = (most >= need) & (alive[:, 6] >= t * size - 1e-9) & (alive[:, 5] <= size / t + 1e-9)
-            carried = {}
-            for (x, y, _, deep, *_), o in zip(alive[go].tolist(), over[go].tolist()):
-                z = x
-                while z < y and self.length[z] == deep:
-                    s = int(self.sizes[self.order[z]])
-                    if o >= t * (size + s - o) - 1e-9:
-                        found.append((int(self.order[z]), o))
-                    z += 1
-                if z < y:
-                    carried[(z, y)] = o
-        mark[grams] = 0
-        return found
-
-
-def join_sets(left: list[tuple[np.ndarray, int]], right: list[tuple[np.ndarray, int]] | None, t: float) -> list[tuple[int, int, float]]:
-    """(i, j, jaccard) of left against right, or of left against itself with i < j; sets are (ordered ranks, full size)."""
-    other = left if right is None else right
-    trie = Trie([s for s, _ in other], np.array([z for _, z in other], np.int64))
-    top = 1 + max([int(s.max()) for s, _ in [*left, *other] if len(s)], default=0)
-    mark, out = np.zeros(top, np.int64), []
-    for i, (s, z) in enumerate(left):
-        for j, o in trie.probe(s, z, mark, t):
-            if right is not None or i < j:
-                out.append((i, j, o / (z + other[j][1] - o)))
+                    z = x
+                    while z < y and length[z] == deep:
+                        z += 1
+                    if z < y:
+                        nxt.append((z, y, deep, len(rows)))
+                    rows.append((x, y, depth, deep, z, int(length[x:y].max()), int(self.sizes[x:y].min()), int(self.sizes[x:y].max()), 0, 0))
+            self.levels.append(np.array(rows, np.int64))
+            nodes = nxt
+
+
+def _meeting(left: Trie, l_prefix: np.ndarray, right: Trie, r_prefix: np.ndarray, a: int, b: int, t: float, own: bool) -> np.ndarray:
+    """Whether the prefix of each of the probes a to b of left has an n-gram of the prefix of each set of right, and the sizes allow a match."""
+    rw = np.repeat(np.arange(len(r_prefix)), r_prefix)
+    rg = right.text[spread(right.begin, r_prefix)]
+    order = np.argsort(rg, kind="stable")
+    rg, rw = rg[order], rw[order]
+    lw = np.repeat(np.arange(b - a), l_prefix[a:b])
+    lg = left.text[spread(left.begin[a:b], l_prefix[a:b])]
+    lo, hi = np.searchsorted(rg, lg), np.searchsorted(rg, lg, side="right")
+    many = hi - lo
+    out = np.zeros((b - a, len(r_prefix)), bool)
+    upto, i = np.cumsum(many), 0
+    while i < len(many):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, side="right")))
+        out[np.repeat(lw[i:j], many[i:j]), rw[spread(lo[i:j], many[i:j])]] = True
+        i = j
+    x, y = left.sizes[a:b, None], right.sizes[None]
+    out &= (y >= t * x - 1e-9) & (x >= t * y - 1e-9)
+    if own:
+        out &= np.arange(len(r_prefix)) > np.arange(a, b)[:, None]
     return out
 
 
-JOINED = "kind string, docs_a array<long>, docs_b array<long>, jaccard double"
-
-
-def _joiner(t_min: float):
+def probe_all(left: Trie, l_prefix: np.ndarray, right: Trie, r_prefix: np.ndarray, top: int, t: float, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, set, overlap) of all matches, both by place in their tries; own: right is left, and each pair is wanted once."""
+    found: list[tuple[np.ndarray, ...]] = []
+    group = max(1, min(512, TABLE // max(top, 1), TABLE // max(len(r_prefix), 1)))
+    for a in range(0, len(l_prefix), group):
+        b = min(len(l_prefix), a + group)
+        meet = _meeting(left, l_prefix, right, r_prefix, a, b, t, own)
+        upto = np.zeros((b - a, len(r_prefix) + 1), np.int32)
+        np.cumsum(meet, axis=1, out=upto[:, 1:])
+        mark = np.zeros((b - a) * top, bool)
+        mark[np.repeat(np.arange(b - a) * top, left.length[a:b]) + left.text[left.begin[a] : left.begin[b - 1] + left.length[b - 1]]] = True
+        p, at, over = np.repeat(np.arange(b - a), len(right.levels[0])), np.tile(np.arange(len(right.levels[0])), b - a), np.zeros((b - a) * len(right.levels[0]), np.int64)
+        for level in right.levels:
+            node = level[at]
+            go = upto[p, node[:, 1]] > upto[p, node[:, 0]]
+            p, node, over = p[go], node[go], over[go]
+            if not len(p):
+                break
+            span = node[:, 3] - node[:, 2]
+            lo, ends, i = right.begin[node[:, 0]] + node[:, 2], np.cumsum(span), 0
+            while i < len(p):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, side="right")))
+                hit = mark[np.repeat(p[i:j] * top, span[i:j]) + right.text[spread(lo[i:j], span[i:j])]]
+                over[i:j] += np.add.reduceat(hit, ends[i:j] - span[i:j] - (ends[i - 1] if i else 0), dtype=np.int64)
+                i = j
+            # what the remaining lengths allow, and the least that any size below requires
+            size, length = left.sizes[a + p], left.length[a + p]
+            most = over + np.minimum(node[:, 5] - node[:, 3], length - over)
+            need = np.ceil(t / (1 + t) * (size + np.maximum(node[:, 6], np.ceil(t * size - 1e-9))) - 1e-9)
+            go = most >= need
+            p, node, over = p[go], node[go], over[go]
+            many = node[:, 4] - node[:, 0]
+            s, q, o = spread(node[:, 0], many), np.repeat(p, many), np.repeat(over, many)
+            ok = meet[q, s] & (o >= t * (left.sizes[a + q] + right.sizes[s] - o) - 1e-9)
+            found.append((a + q[ok], s[ok], o[ok]))
+            many = node[:, 9] - node[:, 8]
+            at, p, over = spread(node[:, 8], many), np.repeat(p, many), np.repeat(over, many)
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+
+
+def join_sets(left: list[tuple[np.ndarray, int, int]], right: list[tuple[np.ndarray, int, int]] | None, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, jaccard) of left against right, or of left against itself with i < j; sets are (ordered ranks, full size, prefix)."""
+    tries = [Trie([s for s, *_ in side], np.array([z for _, z, _ in side], np.int64)) for side in (left, right) if side is not None]
+    prefix = [np.array([side[i][2] for i in trie.order], np.int64) for side, trie in zip((left, right), tries)]
+    top = 1 + max([int(s.max()) for s, *_ in [*left, *(right or [])] if len(s)], default=0)
+    a, b = tries[0], tries[-1]
+    p, s, o = probe_all(a, prefix[0], b, prefix[-1], top, t, right is None)
+    i, j, jac = a.order[p], b.order[s], o / (a.sizes[p] + b.sizes[s] - o)
+    if right is None:
+        i, j = np.minimum(i, j), np.maximum(i, j)
+    return i, j, jac
+
+
+#: Of each set with a link: the least (id, set) that the task linked it with, and the rows of the sets linked with it.
+LINKS = "sig long, to long, to_id long, links long, wide boolean"
+PAIRS = "doc_a long, doc_b long, jaccard double"
+
+
+def _joiner(t_min: float, as_pairs: bool):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        comp, bi, bj, blk = (t[c].to_numpy() for c in ("root", "bi", "bj", "blk"))
-        sizes = t["size"].to_numpy()
-        gr = t["grams"].combine_chunks() if isinstance(t["grams"], pa.ChunkedArray) else t["grams"]
-        rk = t["ranks"].combine_chunks() if isinstance(t["ranks"], pa.ChunkedArray) else t["ranks"]
+        comp, bi, bj, blk, sizes, sig, ids, rows_, prefix = (t[c].to_numpy() for c in ("root", "bi", "bj", "blk", "size", "sig", "id", "n", "prefix"))
+        gr, rk = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t["grams"], t["ranks"]))
         g_all, d_all, offs = gr.flatten().to_numpy(), rk.flatten().to_numpy(), gr.offsets.to_numpy() - gr.offsets[0].as_py()
-        ids = t["ids"]
-        order = np.lexsort((t["sig"].to_numpy(), blk, bj, bi, comp))
+        order = np.lexsort((sig, blk, bj, bi, comp))
         key = np.stack([comp[order], bi[order], bj[order]], axis=1)
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        out: list[list] = [[], [], [], []]
+        out: list[tuple] = []
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
             rows = order[a:b]
-            local = np.concatenate([g_all[offs[i] : offs[i + 1]] for i in rows])
-            freq = np.concatenate([d_all[offs[i] : offs[i + 1]] for i in rows])
-            grams, at, inv = np.unique(local, return_index=True, return_inverse=True)
+            many = (offs[rows + 1] - offs[rows]).astype(np.int64)
+            at = spread(offs[rows].astype(np.int64), many)
+            grams, one, inv = np.unique(g_all[at], return_index=True, return_inverse=True)
             rank = np.empty(len(grams), np.int64)  # global order: rarest first
-            rank[np.lexsort((grams, freq[at]))] = np.arange(len(grams))
-            flat, pos, sets = rank[inv], 0, []
-            for i in rows:
-                n = int(offs[i + 1] - offs[i])
-                sets.append((np.sort(flat[pos : pos + n]), int(sizes[i])))
-                pos += n
-            if bi[rows[0]] == bj[rows[0]]:
-                hits, right = join_sets(sets, None, t_min), rows
-            else:
-                n = int((blk[rows] == bi[rows[0]]).sum())
-                hits, right = join_sets(sets[:n], sets[n:], t_min), rows[n:]
-            for i, j, s in hits:
-                x, y = ids[int(rows[i])].as_py(), ids[int(right[j])].as_py()
-                x, y = (x, y) if (x[0], x) <= (y[0], y) else (y, x)
-                for o, v in zip(out, ("near", x, y, round(s, 6))):
-                    o.append(v)
+            rank[np.lexsort((grams, d_all[at][one]))] = np.arange(len(grams))
+            flat, ends = rank[inv], np.cumsum(many)
+            sets = [(np.sort(flat[e - m : e]), int(sizes[i]), int(prefix[i])) for i, m, e in zip(rows, many, ends)]
+            n = len(rows) if bi[rows[0]] == bj[rows[0]] else int((blk[rows] == bi[rows[0]]).sum())
+            if not 0 < n or n == len(rows) and bi[rows[0]] != bj[rows[0]]:
+                continue
+            i, j, jac = join_sets(sets[:n], None if n == len(rows) else sets[n:], t_min)
+            if n < len(rows):
+                j = j + n
+            if as_pairs:
+                x, y = ids[rows[i]], ids[rows[j]]
+                out.append((np.minimum(x, y), np.maximum(x, y), np.round(jac, 6)))
+                continue
+            got = np.union1d(i, j)
+            links = np.bincount(i, rows_[rows[j]], len(rows)) + np.bincount(j, rows_[rows[i]], len(rows))
+            by = np.lexsort((sig[rows], ids[rows]))  # the place of each set by (id, set)
+            place = np.empty(len(rows), np.int64)
+            place[by] = np.arange(len(rows))
+            root = by[linked(place[i], place[j], len(rows))[place]]
+            out.append((sig[rows[got]], sig[rows[root[got]]], ids[rows[root[got]]], links[got].astype(np.int64), np.full(len(got), bool(t["blocks"][int(rows[0])].as_py() > 1))))
         release()
-        return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.float64())], names=["kind", "docs_a", "docs_b", "jaccard"])
+        schema = PAIRS if as_pairs else LINKS
+        kinds = {"long": np.int64, "double": float, "boolean": bool}
+        names = [x.split() for x in schema.split(", ")]
+        return pa.table([pa.array(np.concatenate([np.zeros(0, kinds[k]), *(o[i] for o in out)])) for i, (_, k) in enumerate(names)], names=[c for c, _ in names])
 
     return run
 
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind, docs_a, docs_b, jaccard) of all pairs of documents with a Jaccard similarity of at least threshold."""
+def sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(rows of SETS for all documents with an id, cut; number of hash ranges)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     ranges = shards(base, RANGE_BYTES)
-    sent = base.mapInArrow(_sender(n, ranges), STAGE1)
-    counted = sent.groupBy("r").applyInArrow(_counter(ranges), STAGE2)
-    sets = cut(counted.groupBy("p").applyInArrow(_assembler(threshold), STAGE3))
-    same = sets.where(F.size("ids") > 1).select(F.lit("same").alias("kind"), F.col("ids").alias("docs_a"), F.lit(None).cast("array<long>").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    live = sets.where("prefix > 0")
+    counted = base.mapInArrow(_sender(n, ranges), SENT).groupBy("k").applyInArrow(_counter, SENT)
+    return cut(counted.groupBy("flush").applyInArrow(_assembler(threshold), SETS)), ranges
+
+
+def _tasks(every: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The sets that can have partners, a copy for each pair of blocks of their component that they are in."""
+    live = every.where("prefix > 0")
     post = live.select(F.explode(F.slice("grams", 1, F.col("prefix"))).alias("g"), F.col("sig"))
     least = post.groupBy("g").agg(F.min("sig").alias("b"), F.count("*").alias("n")).where("n > 1").select("g", "b")
     edges = cut(post.join(least, "g").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct())
-    comp = cut(components(edges))
-    width = comp.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wide = small(cut(width.where("blocks > 1")), 16)
-    at = comp.join(wide, "root", "left").select(F.col("node").alias("sig"), "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    at = at.withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    at = at.select("sig", "root", "blk", other.alias("o")).select("sig", "root", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
-    tasks = live.join(at, "sig").withColumn("bin", F.pmod(F.xxhash64("root", "bi", "bj"), F.lit(ranges * 8)))
-    near = tasks.groupBy("bin").applyInArrow(_joiner(threshold), JOINED)
-    return near.unionByName(same)
+    at = live.join(components(edges).withColumnRenamed("node", "sig"), "sig")
+    # sizes of two bands apart differ by more than the threshold allows
+    base = max(math.log(1 / threshold), 1e-6) * (1 + 1e-9)
+    at = cut(at.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / base).cast("int")))
+    many = at.groupBy("root").agg(F.count("*").alias("c"), F.sum(F.size("grams")).alias("g")).where(f"c > {block} OR g > {BLOCK_GRAMS}").select("root")
+    bands = at.join(many, "root", "left_semi").groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.size("grams")) / BLOCK_GRAMS)).cast("int").alias("b"))
+    by = bands.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("band", "b"))).alias("bands"), F.sum("b").alias("blocks"))
+    at = at.join(small(cut(by), 256), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # blocks are numbered band by band; a set meets those of its own band and of both beside it
+    start = F.expr("aggregate(bands, 0, (n, x) -> n + if(x.band < band, x.b, 0))")
+    size = F.expr("aggregate(bands, 0, (n, x) -> n + if(x.band = band, x.b, 0))")
+    blk = F.when(F.col("blocks") > 1, start + F.pmod(F.xxhash64("sig"), size)).otherwise(0).cast("int")
+    others = F.expr("flatten(transform(bands, (x, i) -> if(abs(x.band - band) <= 1, sequence(aggregate(slice(bands, 1, i), 0, (n, y) -> n + y.b), aggregate(slice(bands, 1, i), 0, (n, y) -> n + y.b) + x.b - 1), cast(array() AS array<int>))))")
+    at = at.withColumn("blk", blk).withColumn("o", F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array(F.lit(0)))))
+    return at.withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")).drop("bands", "band", "o")
+
+
+def _joined(every: DataFrame, ranges: int, threshold: float, block: int, as_pairs: bool) -> DataFrame:
+    tasks = _tasks(every, threshold, block).withColumn("bin", F.pmod(F.xxhash64("root", "bi", "bj"), F.lit(ranges * 8)))
+    return tasks.groupBy("bin").applyInArrow(_joiner(threshold, as_pairs), PAIRS if as_pairs else LINKS)
 
 
-def groups(joined: DataFrame) -> DataFrame:
-    """(doc_id, root) of every document with a partner; root is the smallest id of its connected group."""
-    joined = cut(joined)
-    edges = joined.select(F.explode(F.concat("docs_a", F.coalesce("docs_b", F.array()))).alias("a"), F.col("docs_a")[0].alias("b")).where("a <> b")
-    return components(edges.distinct()).select(F.col("node").alias("doc_id"), "root")
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_a, doc_b, jaccard) of all pairs of different sets with a Jaccard similarity of at least threshold, each by its least id."""
+    every, ranges = sets(docs, threshold, n, id_col, text_col)
+    return _joined(every, ranges, threshold, block, True)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) of every document: the least id of its group, and how many others reach the threshold with it."""
+    every, ranges = sets(docs, threshold, n, id_col, text_col)
+    got = cut(_joined(every, ranges, threshold, block, False))
+    by = got.groupBy("sig").agg(F.min("to_id").alias("class_id"), F.sum("links").alias("links"))
+    apart = cut(got.where("wide AND sig <> to").select(F.col("sig").alias("a"), F.col("to").alias("b")).distinct())
+    if apart.limit(1).count():  # components of several tasks
+        whole = components(apart).withColumnRenamed("node", "sig")
+        ids = got.where("wide").select("sig", "to_id").join(whole, "sig").groupBy("root").agg(F.min("to_id").alias("least"))
+        by = by.join(whole.join(ids, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "class_id").alias("class_id"), "links")
+    own = every.where("n > 1 OR prefix > 0").select("sig", "id", "n")
+    known = own.join(by, "sig", "left").select("sig", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0")
+    out = every.select("id", "sig").join(small(cut(known), 32), "sig", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    null = F.lit(None).cast("long")
+    return out.unionByName(docs.where(F.col(id_col).cast("long").isNull()).select(null.alias("doc_id"), null.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """docs without those that have a smaller id in their group of near duplicates."""
-    drop = small(cut(groups(similarity_join(docs, threshold, n)).where("doc_id <> root").select(F.col("doc_id").alias("__lost"))))
-    return docs.join(drop, docs["doc_id"] == drop["__lost"], "left_anti")
+    """docs without those that have a smaller id in their group of near duplicates; a row without id is kept."""
+    lost = "__lost"
+    while lost in docs.columns:
+        lost = "_" + lost
+    drop = small(cut(classes(docs, threshold, n).where("doc_id <> class_id").select(F.col("doc_id").alias(lost)).distinct()))
+    return docs.join(drop, docs["doc_id"].cast("long") == drop[lost], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return similarity_join(read(spark, sf_dir, "documents"))
-
-
+    return classes(read(spark, sf_dir, "documents"))

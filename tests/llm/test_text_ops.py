@@ -38,59 +38,97 @@ def corpus(seed=0, n=120):
 ODD = [(None, "a b c d"), (1, None), (2, ""), (3, "   "), (4, "a b c d"), (4, "a b c d"), (5, "a b c d"), (6, "x " * 50_000), (7, "x " * 50_000), (8, "one"), (9, "one"), (10, "A, b; C d!")]
 
 
-def near_pairs(rows, t=0.6, n=3):
-    sets = {}
+def sets_of(rows, n=3):
+    """(id, set) of each row, None where there is no id."""
+    out = []
     for i, x in rows:
         w = [v.lower() for v in WORD.findall((x or "").encode())]
-        s = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-        if i is not None and s:
-            sets[i] = s
-    out = {}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-        if j >= t - 1e-9:
-            out[a, b] = round(j, 6)
+        out.append((i, frozenset({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))))
     return out
 
 
-def joined_pairs(df):
-    out = {}
-    for r in df.collect():
-        for a, b in itertools.combinations(r.docs_a, 2) if r.kind == "same" else itertools.product(r.docs_a, r.docs_b):
-            key = (min(a, b), max(a, b))
-            assert key not in out
-            out[key] = r.jaccard
-    return out
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def near_pairs(rows, t=0.6):
+    """Pairs of different sets, by their least ids."""
+    least = {}
+    for i, s in sets_of(rows):
+        if i is not None and s:
+            least[s] = min(i, least.get(s, i))
+    return sorted((*sorted((least[a], least[b])), round(jaccard(a, b), 6)) for a, b in itertools.combinations(least, 2) if jaccard(a, b) >= t - 1e-9)
+
+
+def near_classes(rows, t=0.6):
+    """(id, class, links) of each row, from all pairs of rows."""
+    sets = sets_of(rows)
+    link = [[j for j, (y, b) in enumerate(sets) if j != i and None not in (x, y) and jaccard(a, b) >= t - 1e-9] for i, (x, a) in enumerate(sets)]
+    out = []
+    for i, (x, _) in enumerate(sets):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in link[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        out.append((x, None if x is None else min(sets[j][0] for j in seen), len(link[i])))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("t,block", [(0.6, 1024), (0.35, 4), (1.0, 1024)])
-def test_join_is_brute_force(spark, t, block):
+@pytest.mark.parametrize("flush", [1 << 20, 300])
+def test_join_is_brute_force(spark, monkeypatch, t, block, flush):
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)  # small ones spread copies and n-grams over many
     rows = corpus(3)
-    assert joined_pairs(ngram_join.similarity_join(docs(spark, rows), t, block=block)) == near_pairs(rows, t)
+    df = docs(spark, rows).repartition(3)
+    assert sorted(tuple(r) for r in ngram_join.similarity_join(df, t, block=block).collect()) == near_pairs(rows, t)
+    assert sorted((tuple(r) for r in ngram_join.classes(df, t, block=block).collect()), key=str) == near_classes(rows, t)
+
+
+@pytest.mark.parametrize("cut_at", [1, 5])
+def test_components_of_several_tasks(spark, monkeypatch, cut_at):
+    from quillspan.llm import common
+
+    monkeypatch.setattr(common, "LINKED_AT_ONCE", cut_at)  # so that they are linked over the table
+    monkeypatch.setattr(ngram_join, "RANGE_BYTES", 2000)
+    rows = corpus(11, 90)
+    assert sorted((tuple(r) for r in ngram_join.classes(docs(spark, rows), 0.35, block=3).collect()), key=str) == near_classes(rows, 0.35)
 
 
 def test_join_of_odd_rows(spark):
-    got = joined_pairs(ngram_join.similarity_join(docs(spark, ODD)))
-    assert got == {(4, 5): 1.0, (4, 10): 1.0, (5, 10): 1.0, (6, 7): 1.0, (8, 9): 1.0}
-    assert ngram_join.similarity_join(docs(spark, [])).count() == 0
+    assert sorted((tuple(r) for r in ngram_join.classes(docs(spark, ODD)).collect()), key=str) == near_classes(ODD)
+    assert ngram_join.classes(docs(spark, [])).count() == 0 and ngram_join.similarity_join(docs(spark, [])).count() == 0
+    clash = docs(spark, ODD).selectExpr("doc_id", "text", "1 AS sig", "2 AS n", "'x' AS root", "3 AS id", "4 AS __lost", "array(1) AS grams")
+    assert sorted((tuple(r) for r in ngram_join.classes(clash).collect()), key=str) == near_classes(ODD)
+    assert ngram_join.keep_one(clash).columns == clash.columns
     with pytest.raises(ValueError):
         ngram_join.similarity_join(docs(spark, []), 0)
 
 
-def test_trie_prunes_nothing_that_matches():
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_trie_prunes_nothing_that_matches(monkeypatch, step):
+    monkeypatch.setattr(ngram_join, "STEP", step)
+    monkeypatch.setattr(ngram_join, "TABLE", 40 * step)
     rng = random.Random(5)
     sets = []
-    for _ in range(60):
+    for _ in range(80):
         s = np.array(sorted(rng.sample(range(40), rng.randint(1, 25))))
-        sets.append((s, len(s) + rng.randint(0, 3)))
-    got = {(i, j): round(v, 9) for i, j, v in ngram_join.join_sets(sets, None, 0.5)}
-    want = {}
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        o = len(set(sets[i][0].tolist()) & set(sets[j][0].tolist()))
-        v = o / (sets[i][1] + sets[j][1] - o)
-        if v >= 0.5 - 1e-9:
-            want[i, j] = round(v, 9)
-    assert got == want
+        size = len(s) + rng.randint(0, 3)
+        sets.append((s, size, max(0, min(len(s), size - int(np.ceil(0.5 * size - 1e-9)) + 1 - (size - len(s))))))
+
+    def match(pairs):
+        out = {}
+        for i, j in pairs:
+            o = len(set(sets[i][0].tolist()) & set(sets[j][0].tolist()))
+            v = o / (sets[i][1] + sets[j][1] - o)
+            if v >= 0.5 - 1e-9:
+                out[i, j] = round(v, 9)
+        return out
+
+    as_dict = lambda x, add=0: {(int(i), int(j) + add): round(float(v), 9) for i, j, v in zip(*x)}
+    assert as_dict(ngram_join.join_sets(sets, None, 0.5)) == match(itertools.combinations(range(80), 2))
+    assert as_dict(ngram_join.join_sets(sets[:30], sets[30:], 0.5), 30) == match(itertools.product(range(30), range(30, 80)))
 
 
 def test_keep_one_of_each_group(spark):
