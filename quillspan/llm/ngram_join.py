@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join with a prefix tree.
 
-A document is the set of its word n-grams, as 56-bit hashes (words are runs of
+A document is the set of its word n-grams, as hashes (words are runs of
 letters and digits, ASCII case folded). The join finds every pair of different
 sets whose Jaccard similarity reaches the threshold t; it is exact but for
 collisions of the hash.
@@ -46,12 +46,12 @@ from quillspan.llm.common import buffers, components, cut, linked, mix64, ngram_
 
 N = 3
 THRESHOLD = 0.6
-#: Bytes of a hash: one false share in 100,000 n-grams of a table of 10**12.
-WIDTH = 7
 #: Estimated input bytes for each hash range.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
+#: Bytes of a hash, up to so many ranges and beyond; either way less than one n-gram in 10,000 shares its hash with another one.
+WIDTHS, FEW_RANGES = (6, 7), 1 << 12
 #: N-grams that a task holds before it sends them, at least; with many ranges more, so that a row for a range stays long.
-FLUSH, MOST_FLUSH, EACH_ROW = 1_000_000, 8_000_000, 64
+FLUSH, MOST_FLUSH, EACH_ROW = 1_000_000, 8_000_000, 64  # below 1 << 24, the numbers' width
 #: Sets that are joined at once, and their n-grams.
 BLOCK, BLOCK_GRAMS = 2048, 2_000_000
 #: Places that the trie looks at in one step, and the size of the table of a group of probes.
@@ -62,10 +62,14 @@ def _needed(t: float, size):
     return np.ceil(t * np.asarray(size, float) - 1e-9).astype(np.int64)
 
 
-def _slice_sets(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _width(ranges: int) -> int:
+    return WIDTHS[ranges > FEW_RANGES]
+
+
+def _slice_sets(raw: np.ndarray, offs: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct n-grams of each of at most 256 rows, sorted by both."""
     row, key = ngram_keys(raw, offs, n)
-    bits = np.uint64(8 * WIDTH)
+    bits = np.uint64(8 * width)
     k = np.sort((row.astype(np.uint64) << bits) | (key >> (np.uint64(64) - bits)))
     if len(k):
         k = k[np.concatenate([[True], k[1:] != k[:-1]])]
@@ -84,9 +88,9 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _sender(n: int, ranges: int):
-    most = max(FLUSH, min(MOST_FLUSH, ranges * EACH_ROW))
+    most, width = max(FLUSH, min(MOST_FLUSH, ranges * EACH_ROW)), _width(ranges)
     edges = np.arange(1, ranges, dtype=np.uint64)
-    gram_edges, sig_edges = edges << np.uint64(8 * WIDTH - (ranges.bit_length() - 1)), edges << np.uint64(64 - (ranges.bit_length() - 1)) if ranges > 1 else edges
+    gram_edges, sig_edges = edges << np.uint64(8 * width - (ranges.bit_length() - 1)), edges << np.uint64(64 - (ranges.bit_length() - 1)) if ranges > 1 else edges
 
     def run(batches):
         from pyspark import TaskContext
@@ -109,18 +113,18 @@ def _sender(n: int, ranges: int):
             sc = np.concatenate([[0], np.searchsorted(uniq, sig_edges), [len(uniq)]])
             whose = np.full(len(ids), -1, np.int32)
             whose[~none] = member
-            rows = [(-1 - name % ranges, name, 0, planes(inv.astype(np.uint64), 4), sizes.astype(np.int32).tobytes(), uniq.tobytes(), ids.tobytes(), whose.tobytes())]
+            rows = [(-1 - name % ranges, name, 0, planes(inv.astype(np.uint64), 3), sizes.astype(np.int32).tobytes(), uniq.tobytes(), ids.tobytes(), whose.tobytes())]
             for r in range(ranges):
                 a, b, c, d = gc[r], gc[r + 1], sc[r], sc[r + 1]
                 if a < b or c < d:
-                    rows.append((r, name, int(a), planes(different[a:b], WIDTH), planes(count[a:b].astype(np.uint64), 4), uniq[c:d].tobytes(), least[c:d].tobytes(), many[c:d].astype(np.int64).tobytes()))
+                    rows.append((r, name, int(a), planes(different[a:b], width), planes(count[a:b].astype(np.uint64), 4), uniq[c:d].tobytes(), least[c:d].tobytes(), many[c:d].astype(np.int64).tobytes()))
             return _table(rows)
 
         for b in batches:
             ident = b["id"].to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offs = buffers(b["text"])
-            for i, j in slices(offs, 1 << (64 - 8 * WIDTH)):
-                row, h = _slice_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
+            for i, j in slices(offs, 256):
+                row, h = _slice_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n, width)
                 count = np.bincount(row, minlength=j - i)
                 sig = np.zeros(j - i, np.uint64)
                 if len(has := np.flatnonzero(count)):
@@ -146,46 +150,55 @@ def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _counter(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    r = key[0].as_py()
-    if r < 0:
-        return t
-    flush, lo = t["flush"].to_pylist(), t["lo"].to_pylist()
-    grams, count = ([unplanes(x.as_py(), w) for x in t[c]] for c, w in (("grams", WIDTH), ("counts", 4)))
-    sigs, ids, many = ([np.frombuffer(x.as_py(), k) for x in t[c]] for c, k in (("sigs", np.uint64), ("ids", np.int64), ("many", np.int64)))
-    g_at, s_at = (np.concatenate([[0], np.cumsum([len(x) for x in xs])]) for xs in (grams, sigs))
-    g = np.concatenate(grams)
-    order = np.argsort(g)
-    s = g[order]
-    total = np.zeros(len(g), np.int64)
-    if len(g):
-        begin, run = _runs(np.concatenate([[True], s[1:] != s[:-1]]))
-        total[order] = np.add.reduceat(np.concatenate(count)[order].astype(np.int64), begin)[run]
-    # of equal sets the one with the least id stays, of these that of the first flush
-    sig, sid, sm = np.concatenate(sigs), np.concatenate(ids), np.concatenate(many)
-    owner = np.repeat(np.array(flush, np.int64), np.diff(s_at))
-    order = np.lexsort((owner, sid, sig))
-    s = sig[order]
-    flushes, rows = np.zeros(len(sig), np.int32), np.zeros(len(sig), np.int64)
-    if len(sig):
-        begin, run = _runs(np.concatenate([[True], s[1:] != s[:-1]]))
-        flushes[order] = np.bincount(run)[run]
-        rows[order[begin]] = np.add.reduceat(sm[order], begin)
-    out = []
-    for i, name in enumerate(flush):
-        d = total[g_at[i] : g_at[i + 1]]
-        keep = np.flatnonzero(d > 1)
-        out.append((r, name, lo[i], planes(grams[i][keep], WIDTH), planes(d[keep].astype(np.uint64), 4), flushes[s_at[i] : s_at[i + 1]].tobytes(), rows[s_at[i] : s_at[i + 1]].tobytes(), planes(keep.astype(np.uint64), 4)))
-    del g, total, grams, count
-    release()
-    return _table(out)
+def _counter(width: int):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        r = key[0].as_py()
+        if r < 0:
+            return t
+        flush, lo = t["flush"].to_pylist(), t["lo"].to_pylist()
+        many = [len(x) // width for x in (x.as_buffer() for x in t["grams"])]
+        g_at = np.concatenate([[0], np.cumsum(many)])
+        g, count = np.empty(g_at[-1], np.uint64), np.empty(g_at[-1], np.int32)
+        for i in range(len(flush)):
+            g[g_at[i] : g_at[i + 1]] = unplanes(t["grams"][i].as_buffer(), width)
+            count[g_at[i] : g_at[i + 1]] = unplanes(t["counts"][i].as_buffer(), 4)
+        total = np.zeros(len(g), np.int64)
+        if len(g):
+            order = np.argsort(g)
+            s = g[order]
+            begin, run_ = _runs(np.concatenate([[True], s[1:] != s[:-1]]))
+            del s
+            total[order] = np.add.reduceat(count[order], begin, dtype=np.int64)[run_]
+            del order, run_, count
+        # of equal sets the one with the least id stays, of these that of the first flush
+        sigs, ids, many = ([np.frombuffer(x.as_buffer(), k) for x in t[c]] for c, k in (("sigs", np.uint64), ("ids", np.int64), ("many", np.int64)))
+        s_at = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
+        sig, sid, sm = np.concatenate(sigs), np.concatenate(ids), np.concatenate(many)
+        owner = np.repeat(np.array(flush, np.int64), np.diff(s_at))
+        order = np.lexsort((owner, sid, sig))
+        s = sig[order]
+        flushes, rows = np.zeros(len(sig), np.int32), np.zeros(len(sig), np.int64)
+        if len(sig):
+            begin, run_ = _runs(np.concatenate([[True], s[1:] != s[:-1]]))
+            flushes[order] = np.bincount(run_)[run_]
+            rows[order[begin]] = np.add.reduceat(sm[order], begin)
+        out = []
+        for i, name in enumerate(flush):
+            d = total[g_at[i] : g_at[i + 1]]
+            keep = np.flatnonzero(d > 1)
+            out.append((r, name, lo[i], planes(g[g_at[i] : g_at[i + 1]][keep], width), planes(d[keep].astype(np.uint64), 4), flushes[s_at[i] : s_at[i + 1]].tobytes(), rows[s_at[i] : s_at[i + 1]].tobytes(), planes(keep.astype(np.uint64), 3)))
+        del g, total
+        release()
+        return _table(out)
+
+    return run
 
 
 #: A row for each document; n: rows of the set, at its least id alone, elsewhere 0; grams and ranks only there, and if the set can have a partner.
 SETS = "id long, sig long, n long, size int, grams array<long>, ranks array<int>, prefix int"
 
 
-def _assembler(t_min: float):
+def _assembler(t_min: float, width: int):
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t["k"].to_numpy(), kind="stable")
         k = t["k"].to_pylist()
@@ -193,11 +206,11 @@ def _assembler(t_min: float):
         get = lambda i, c, kind: np.frombuffer(t[c][i].as_py(), kind)
         size = get(home, "counts", np.int32).astype(np.int64)
         sigs, ids, whose = get(home, "sigs", np.uint64), get(home, "ids", np.int64), get(home, "many", np.int32).astype(np.int64)
-        inv = unplanes(t["grams"][home].as_py(), 4).astype(np.int64)
+        inv = unplanes(t["grams"][home].as_py(), 3).astype(np.int64)
         gram, count = np.zeros(int(inv.max(initial=-1)) + 1, np.uint64), np.zeros(int(inv.max(initial=-1)) + 1, np.int64)
         for i in answers:
-            at = unplanes(t["many"][i].as_py(), 4).astype(np.int64) + t["lo"][i].as_py()
-            gram[at], count[at] = unplanes(t["grams"][i].as_py(), WIDTH), unplanes(t["counts"][i].as_py(), 4)
+            at = unplanes(t["many"][i].as_py(), 3).astype(np.int64) + t["lo"][i].as_py()
+            gram[at], count[at] = unplanes(t["grams"][i].as_py(), width), unplanes(t["counts"][i].as_py(), 4)
         cat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(get(i, c, kind) for i in answers)])
         flushes, rows = cat("sigs", np.int32).astype(np.int64), cat("ids", np.int64)
         owner = np.repeat(np.arange(len(size)), size)
@@ -405,8 +418,8 @@ def sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str
         raise ValueError("threshold must be above 0 and at most 1")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     ranges = shards(base, RANGE_BYTES)
-    counted = base.mapInArrow(_sender(n, ranges), SENT).groupBy("k").applyInArrow(_counter, SENT)
-    return cut(counted.groupBy("flush").applyInArrow(_assembler(threshold), SETS)), ranges
+    counted = base.mapInArrow(_sender(n, ranges), SENT).groupBy("k").applyInArrow(_counter(_width(ranges)), SENT)
+    return cut(counted.groupBy("flush").applyInArrow(_assembler(threshold, _width(ranges)), SETS)), ranges
 
 
 def _tasks(every: DataFrame, threshold: float, block: int) -> DataFrame:
