@@ -155,6 +155,20 @@ def unplanes(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def packed(a: np.ndarray, width: int) -> bytes:
+    """Values of so many bytes, as compressed differences; ascending ones take little room."""
+    a = a.astype(np.uint64)
+    a[1:] -= a[:-1].copy()
+    blob = planes(a, width)
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def unpacked(blob, width: int) -> np.ndarray:
+    blob = memoryview(blob)
+    raw = pa.decompress(pa.py_buffer(blob[8:]), int.from_bytes(blob[:8], "little"), "zstd")
+    return np.cumsum(unplanes(raw, width), dtype=np.uint64) & np.uint64((1 << 8 * width) - 1)
+
+
 def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indexes of the ranges that begin at lo and have the given sizes, one after the other."""
     total = int(size.sum())

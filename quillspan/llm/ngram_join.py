@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import buffers, components, cut, linked, mix64, ngram_keys, planes, read, release, shards, slices, small, spread, unplanes
+from quillspan.llm.common import buffers, components, cut, linked, mix64, ngram_keys, packed, read, release, shards, slices, small, spread, unpacked
 
 N = 3
 THRESHOLD = 0.6
@@ -113,11 +113,11 @@ def _sender(n: int, ranges: int):
             sc = np.concatenate([[0], np.searchsorted(uniq, sig_edges), [len(uniq)]])
             whose = np.full(len(ids), -1, np.int32)
             whose[~none] = member
-            rows = [(-1 - name % ranges, name, 0, planes(inv.astype(np.uint64), 3), sizes.astype(np.int32).tobytes(), uniq.tobytes(), ids.tobytes(), whose.tobytes())]
+            rows = [(-1 - name % ranges, name, 0, packed(inv.astype(np.uint64), 3), sizes.astype(np.int32).tobytes(), uniq.tobytes(), ids.tobytes(), whose.tobytes())]
             for r in range(ranges):
                 a, b, c, d = gc[r], gc[r + 1], sc[r], sc[r + 1]
                 if a < b or c < d:
-                    rows.append((r, name, int(a), planes(different[a:b], width), planes(count[a:b].astype(np.uint64), 4), uniq[c:d].tobytes(), least[c:d].tobytes(), many[c:d].astype(np.int64).tobytes()))
+                    rows.append((r, name, int(a), packed(different[a:b], width), packed(count[a:b].astype(np.uint64), 4), uniq[c:d].tobytes(), least[c:d].tobytes(), many[c:d].astype(np.int64).tobytes()))
             return _table(rows)
 
         for b in batches:
@@ -156,12 +156,12 @@ def _counter(width: int):
         if r < 0:
             return t
         flush, lo = t["flush"].to_pylist(), t["lo"].to_pylist()
-        many = [len(x) // width for x in (x.as_buffer() for x in t["grams"])]
-        g_at = np.concatenate([[0], np.cumsum(many)])
-        g, count = np.empty(g_at[-1], np.uint64), np.empty(g_at[-1], np.int32)
+        counts = [unpacked(x.as_buffer(), 4).astype(np.int32) for x in t["counts"]]
+        g_at = np.concatenate([[0], np.cumsum([len(x) for x in counts])])
+        g, count = np.empty(g_at[-1], np.uint64), np.concatenate(counts)
+        del counts
         for i in range(len(flush)):
-            g[g_at[i] : g_at[i + 1]] = unplanes(t["grams"][i].as_buffer(), width)
-            count[g_at[i] : g_at[i + 1]] = unplanes(t["counts"][i].as_buffer(), 4)
+            g[g_at[i] : g_at[i + 1]] = unpacked(t["grams"][i].as_buffer(), width)
         total = np.zeros(len(g), np.int64)
         if len(g):
             order = np.argsort(g)
@@ -186,7 +186,7 @@ def _counter(width: int):
         for i, name in enumerate(flush):
             d = total[g_at[i] : g_at[i + 1]]
             keep = np.flatnonzero(d > 1)
-            out.append((r, name, lo[i], planes(g[g_at[i] : g_at[i + 1]][keep], width), planes(d[keep].astype(np.uint64), 4), flushes[s_at[i] : s_at[i + 1]].tobytes(), rows[s_at[i] : s_at[i + 1]].tobytes(), planes(keep.astype(np.uint64), 3)))
+            out.append((r, name, lo[i], packed(g[g_at[i] : g_at[i + 1]][keep], width), packed(d[keep].astype(np.uint64), 4), flushes[s_at[i] : s_at[i + 1]].tobytes(), rows[s_at[i] : s_at[i + 1]].tobytes(), packed(keep.astype(np.uint64), 3)))
         del g, total
         release()
         return _table(out)
@@ -206,11 +206,11 @@ def _assembler(t_min: float, width: int):
         get = lambda i, c, kind: np.frombuffer(t[c][i].as_py(), kind)
         size = get(home, "counts", np.int32).astype(np.int64)
         sigs, ids, whose = get(home, "sigs", np.uint64), get(home, "ids", np.int64), get(home, "many", np.int32).astype(np.int64)
-        inv = unplanes(t["grams"][home].as_py(), 3).astype(np.int64)
+        inv = unpacked(t["grams"][home].as_py(), 3).astype(np.int64)
         gram, count = np.zeros(int(inv.max(initial=-1)) + 1, np.uint64), np.zeros(int(inv.max(initial=-1)) + 1, np.int64)
         for i in answers:
-            at = unplanes(t["many"][i].as_py(), 3).astype(np.int64) + t["lo"][i].as_py()
-            gram[at], count[at] = unplanes(t["grams"][i].as_py(), width), unplanes(t["counts"][i].as_py(), 4)
+            at = unpacked(t["many"][i].as_py(), 3).astype(np.int64) + t["lo"][i].as_py()
+            gram[at], count[at] = unpacked(t["grams"][i].as_py(), width), unpacked(t["counts"][i].as_py(), 4)
         cat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(get(i, c, kind) for i in answers)])
         flushes, rows = cat("sigs", np.int32).astype(np.int64), cat("ids", np.int64)
         owner = np.repeat(np.arange(len(size)), size)
