@@ -1,19 +1,23 @@
-"""Exact k nearest neighbours of every vector by a pivot table.
+"""Exact k nearest neighbours by a pivot table.
 
-Distances of all vectors to PIVOTS pivots are computed once. By the triangle
+The queries are every row whose id is divisible by EVERY, searched against all
+rows. Distances of all vectors to PIVOTS pivots are computed once. By the triangle
 inequality, |d(q, p) - d(x, p)| is a lower bound of d(q, x) for each pivot p, and
 the greatest of them is the table's bound. Vectors are grouped by their nearest
 pivot into blocks. The k-th distance inside its own block is a first limit for a
 query; a query goes only to blocks whose range of pivot distances doesn't exclude
-it, and there candidates are evaluated by rising bound until the bound exceeds
-the k-th distance so far. So the result is exact whatever the pivots are.
+it. There candidates are evaluated by rising bound, STEP at a time, and each step
+lowers the limit to the k-th distance so far; the search ends at the first bound
+over the limit. Only distances of evaluated candidates are computed, and the
+result is exact whatever the pivots are.
 
 Distance is Euclidean, in double precision; ties go to the smaller id.
 
 Defined results: null ids, null vectors, vectors with a null or not finite entry
 and vectors of another length than the commonest (the longer, of equals) have no
 neighbours and are none; rows that repeat an id count once, with the least
-vector; fewer than k others give fewer rows; other columns play no part.
+vector; fewer than k others give fewer rows; an empty table gives no rows; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspan.llm.common import cut, read
 
 K = 10
+#: Ids divisible by this are queries.
+EVERY = 50
 PIVOTS = 32
 #: Rows that pivots are chosen from, by a hash of their ids; this changes speed alone.
 PIVOT_ROWS = 1024
 BLOCK = 2048
 #: Blocks whose ranges travel together.
 BUNDLE = 8192
+#: Candidates of each query that are evaluated at once, and queries side by side.
+STEP, SIDE = 32, 128
 #: Bounds are kept in single precision: a least slack, and one for each unit of the greatest pivot distance.
 SLACK, ROUNDING = 1e-5, 4 * float(np.finfo(np.float32).eps)
 
@@ -61,66 +70,69 @@ def _matrix(col, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
 
 
-def _kth(x: np.ndarray, k: int) -> np.ndarray:
-    """For each row, an upper limit of the distance of its k-th nearest other row here."""
+def _kth(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """For the rows at these places, an upper limit of the distance of their k-th nearest other row here."""
     n = len(x)
     if n <= k:
-        return np.full(n, np.inf)
+        return np.full(len(at), np.inf)
     x = x.astype(np.float64)
     sq = (x * x).sum(axis=1)
-    out = np.empty(n)
-    for a in range(0, n, 512):
-        d = sq[a : a + 512, None] + sq - 2 * (x[a : a + 512] @ x.T)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+    out = np.empty(len(at))
+    for a in range(0, len(at), 512):
+        q = at[a : a + 512]
+        d = sq[q, None] + sq - 2 * (x[q] @ x.T)
+        d[np.arange(len(q)), q] = np.inf
         out[a : a + 512] = np.partition(d, k - 1, axis=1)[:, k - 1]
     return np.sqrt(np.maximum(out, 0)) * (1 + 1e-6) + 1e-6 * np.sqrt(sq.max() + 1e-30)
 
 
-def search_block(q_id, q, q_pd, tau, x_id, x, x_pd, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, distance): for each query the best k of these rows that its limit allows."""
+def search_block(q_id, q, q_pd, tau, x_id, x, x_pd, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query id, neighbour id, distance): for each query the best k of these rows, ties included, that its limit allows; and how many distances that took."""
     x64, q64 = x.astype(np.float64), q.astype(np.float64)
-    xt, sx, out = np.ascontiguousarray(x_pd.T), (x64 * x64).sum(axis=1), []
-    first = min(len(x), max(64, 4 * k))
+    xt, out, evaluated = np.ascontiguousarray(x_pd.T), [], 0
     slack = SLACK + ROUNDING * max(float(q_pd.max(initial=0)), float(x_pd.max(initial=0)))
-    for a in range(0, len(q), 256):
-        v, limit, me = q64[a : a + 256], tau[a : a + 256].copy(), q_id[a : a + 256]
+    for a in range(0, len(q), SIDE):
+        v, limit, me = q64[a : a + SIDE], tau[a : a + SIDE].copy(), q_id[a : a + SIDE]
         bound, gap = np.zeros((len(v), len(x)), np.float32), np.empty((len(v), len(x)), np.float32)
         for p in range(len(xt)):
-            np.subtract(q_pd[a : a + 256, p, None], xt[p], out=gap)
+            np.subtract(q_pd[a : a + SIDE, p, None], xt[p], out=gap)
             np.abs(gap, out=gap)
             np.maximum(bound, gap, out=bound)
-        # the candidates of least bound first, for all queries of the chunk at once
-        near = np.argpartition(bound, first - 1, axis=1)[:, :first]
-        d = np.sqrt(((x64[near] - v[:, None, :]) ** 2).sum(axis=2))
-        d[x_id[near] == me[:, None]] = np.inf
-        if first >= k:
-            np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1], out=limit)
-        # then those that the distances found so far don't stop
-        go = bound <= (limit + slack)[:, None]
-        np.put_along_axis(go, near, False, axis=1)
-        r, c = np.nonzero(go)
-        if len(r):
-            rough = ((v * v).sum(axis=1)[:, None] + sx - 2 * (v @ x64.T))[r, c]
-            fit = rough <= limit[r] ** 2 * (1 + 1e-9) + 1e-7 * (1 + sx[c])
-            r, c = r[fit], c[fit]
-        far = np.sqrt(((x64[c] - v[r]) ** 2).sum(axis=1))
-        ok = (far <= limit[r]) & (x_id[c] != me[r])
-        nr, nc = np.nonzero(d <= limit[:, None])
-        out.append((np.concatenate([me[nr], me[r[ok]]]), np.concatenate([x_id[near[nr, nc]], x_id[c[ok]]]), np.concatenate([d[nr, nc], far[ok]])))
-    keep = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, float))]
-    fine = np.isfinite(keep[2])
-    return keep[0][fine], keep[1][fine], keep[2][fine]
-
-
-BLOCKS = "block long, ids binary, vecs binary, pds binary, tau binary, lo array<float>, hi array<float>"
+        bound[x_id == me[:, None]] = np.inf
+        order = np.argsort(bound, axis=1)
+        best = np.full((len(v), k), np.inf)
+        rows = np.arange(len(v))
+        for s in range(0, len(x), STEP):
+            at = order[rows, s : s + STEP]
+            low = bound[rows[:, None], at]
+            go = (low <= (limit[rows] + slack)[:, None]) & np.isfinite(low)
+            rows, at, go = rows[go[:, 0]], at[go[:, 0]], go[go[:, 0]]  # the bounds rise, so a query whose next one is over its limit is done
+            if not len(rows):
+                break
+            i, j = np.nonzero(go)
+            d = np.full(go.shape, np.inf)
+            d[i, j] = np.sqrt(((x64[at[i, j]] - v[rows[i]]) ** 2).sum(axis=1))
+            evaluated += len(i)
+            near = (d <= limit[rows][:, None]) & np.isfinite(d)
+            i, j = np.nonzero(near)
+            out.append((me[rows[i]], x_id[at[i, j]], d[i, j], rows[i] + a))
+            best[rows] = np.sort(np.concatenate([best[rows], d], axis=1), axis=1)[:, :k]
+            limit[rows] = np.minimum(limit[rows], best[rows, k - 1])
+        tau[a : a + SIDE] = limit
+    cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, float, np.int64))]
+    fine = cols[2] <= tau[cols[3]]
+    return cols[0][fine], cols[1][fine], cols[2][fine], evaluated
+
+
+BLOCKS = "block long, ids binary, vecs binary, pds binary, asks binary, tau binary, lo array<float>, hi array<float>"
 QUERIES = "block long, ids binary, vecs binary, pds binary, tau binary"
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance) of the k nearest others of every vector."""
+def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance) of the k nearest others of every vector whose id is divisible by every."""
     empty = "vec_id long, rank int, neighbor_id long, distance double"
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if k < 1 or every < 1:
+        raise ValueError("k and every must be at least 1")
     rows, dim = valid(vectors, id_col, vec_col)
     if not dim:
         return vectors.sparkSession.createDataFrame([], empty)
@@ -145,19 +157,21 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
         order = np.argsort(t["id"].to_numpy(), kind="stable")
         ids = t["id"].to_numpy()[order]
         x, pd = _matrix(t["v"], dim)[order], _matrix(t["pd"], width)[order]
-        cols = [key[0].as_py(), ids.tobytes(), x.tobytes(), pd.tobytes(), _kth(x, k).tobytes(), pd.min(axis=0).tolist(), pd.max(axis=0).tolist()]
-        types = (pa.int64(), *[pa.binary()] * 4, pa.list_(pa.float32()), pa.list_(pa.float32()))
+        q = np.flatnonzero(ids % every == 0)
+        cols = [key[0].as_py(), ids.tobytes(), x.tobytes(), pd.tobytes(), q.tobytes(), _kth(x, q, k).tobytes(), pd.min(axis=0).tolist(), pd.max(axis=0).tolist()]
+        types = (pa.int64(), *[pa.binary()] * 5, pa.list_(pa.float32()), pa.list_(pa.float32()))
         return pa.table([pa.array([c], ty) for c, ty in zip(cols, types)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     blocks = cut(placed.groupBy("block").applyInArrow(gather, BLOCKS))
-    ranges = blocks.select(F.pmod(F.xxhash64("block"), F.lit(max(1, -(-sum(parts.values()) // BUNDLE)))).alias("bundle"), F.struct("block", "lo", "hi").alias("r"))
-    ranges = ranges.groupBy("bundle").agg(F.collect_list("r").alias("targets")).select("targets")
+    bundles = max(1, -(-sum(parts.values()) // BUNDLE))
+    ranges = blocks.select(F.pmod(F.xxhash64("block"), F.lit(bundles)).cast("int").alias("bundle"), F.struct("block", "lo", "hi").alias("r"))
+    ranges = ranges.groupBy("bundle").agg(F.collect_list("r").alias("targets"))
 
     def route(batches):
         for b in batches:
-            for i, v, d, t, targets in zip(*(b[c].to_pylist() for c in ("ids", "vecs", "pds", "tau", "targets"))):
-                ids, x = np.frombuffer(i, np.int64), np.frombuffer(v, np.float32).reshape(-1, dim)
-                pd, tau = np.frombuffer(d, np.float32).reshape(-1, width), np.frombuffer(t, np.float64)
+            for i, v, d, q, t, targets in zip(*(b[c].to_pylist() for c in ("ids", "vecs", "pds", "asks", "tau", "targets"))):
+                q, tau = np.frombuffer(q, np.int64), np.frombuffer(t, np.float64)
+                ids, x, pd = np.frombuffer(i, np.int64)[q], np.frombuffer(v, np.float32).reshape(-1, dim)[q], np.frombuffer(d, np.float32).reshape(-1, width)[q]
                 for r in sorted(targets, key=lambda r: r["block"]):
                     lo, hi = np.array(r["lo"], np.float32), np.array(r["hi"], np.float32)
                     slack = SLACK + ROUNDING * max(float(pd.max(initial=0)), float(hi.max()))
@@ -166,21 +180,24 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
                         cols = (r["block"], ids[go].tobytes(), x[go].tobytes(), pd[go].tobytes(), tau[go].tobytes())
                         yield pa.RecordBatch.from_arrays([pa.array([c], ty) for c, ty in zip(cols, (pa.int64(), *[pa.binary()] * 4))], names=[c.split()[0] for c in QUERIES.split(", ")])
 
-    asked = blocks.select("ids", "vecs", "pds", "tau").repartition(max(1, sum(parts.values()))).crossJoin(ranges).mapInArrow(route, QUERIES)
+    # queries go to every bundle of ranges, by an equal join
+    asking = blocks.where(F.length("asks") > 0).select("ids", "vecs", "pds", "asks", "tau", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle"))
+    asked = asking.join(ranges, "bundle").repartition(max(1, sum(parts.values())), F.col("ids")).mapInArrow(route, QUERIES)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         for c in zip(*(left[n].to_pylist() for n in ("ids", "vecs", "pds"))):
             x_id, x, x_pd = (np.frombuffer(y, ty).reshape(-1, *s) for y, ty, s in zip(c, (np.int64, np.float32, np.float32), ((), (dim,), (width,))))
             for q in zip(*(right[n] for n in ("ids", "vecs", "pds", "tau"))):
-                q_id, qv, q_pd, tau = (np.frombuffer(y.as_py(), ty).reshape(-1, *s) for y, ty, s in zip(q, (np.int64, np.float32, np.float32, np.float64), ((), (dim,), (width,), ())))
-                found.append(search_block(q_id, qv, q_pd, tau, x_id, x, x_pd, k))
+                q_id, qv, q_pd, tau = (np.frombuffer(y.as_py(), ty).copy().reshape(-1, *s) for y, ty, s in zip(q, (np.int64, np.float32, np.float32, np.float64), ((), (dim,), (width,), ())))
+                found.append(search_block(q_id, qv, q_pd, tau, x_id, x, x_pd, k)[:3])
         cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, ty) for j, ty in enumerate((np.int64, np.int64, float))]
         return pa.table([pa.array(c) for c in cols], names=["q", "x", "d"])
 
     hits = blocks.select("block", "ids", "vecs", "pds").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(answer, "q long, x long, d double")
-    best = hits.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "x"))), 1, k).alias("best"))
-    return best.select("q", F.posexplode("best").alias("pos", "b")).select(F.col("q").alias("vec_id"), (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.x").alias("neighbor_id"), F.round("b.d", 5).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "x"))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select(F.col("q").alias("vec_id"), "rank", F.col("x").alias("neighbor_id"), F.round("d", 5).alias("distance"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -191,6 +208,6 @@ SQL = f"""
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d, 5) AS distance FROM (
   SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
          row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0)
 WHERE rank <= {K}
 """

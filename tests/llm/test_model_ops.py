@@ -15,43 +15,63 @@ import pytest
 from quillspan.llm import html_extract, langid, sp_codec, tokens, topk
 
 
-def brute(rows, k):
+def brute(rows, k, every=1):
     out = []
     for i, v in rows:
-        d = sorted((float(np.sqrt(((np.float32(v).astype(float) - np.float32(w).astype(float)) ** 2).sum())), j) for j, w in rows if j != i)[:k]
-        out += [(i, r + 1, j, round(x, 5)) for r, (x, j) in enumerate(d)]
+        if i % every == 0:
+            d = sorted((float(np.sqrt(((np.float32(v).astype(float) - np.float32(w).astype(float)) ** 2).sum())), j) for j, w in rows if j != i)[:k]
+            out += [(i, r + 1, j, round(x, 5)) for r, (x, j) in enumerate(d)]
     return sorted(out)
 
 
-def test_topk_is_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("every,bundle", [(1, 8192), (7, 2), (50, 8192)])
+def test_topk_is_brute_force(spark, monkeypatch, every, bundle):
     monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "BUNDLE", bundle)
     rng = np.random.default_rng(0)
     centers = rng.normal(0, 3, (5, 8))
     rows = [(i, (centers[i % 5] + rng.normal(0, 0.5, 8)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[i][1]) for i in range(20)]  # ties
-    got = topk.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5)
-    assert sorted(map(tuple, got.collect())) == brute(rows, 5)
+    got = topk.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, every)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, every)
+
+
+def table(x, pivots):
+    return np.sqrt(((x[:, None].astype(float) - pivots) ** 2).sum(axis=2)).astype(np.float32)
 
 
 def test_topk_of_far_vectors():
     rng = np.random.default_rng(1)
     x = (rng.normal(0, 1e-3, (400, 4)) + np.array([1000.0, 0, 0, 0])).astype(np.float32)
-    pivots = np.array([[-1000.0, 0, 0, 0], [3000.0, 5, 0, 0], [0, 2000.0, 1, 1]])
-    pd = np.sqrt(((x[:, None].astype(float) - pivots) ** 2).sum(axis=2)).astype(np.float32)
+    pd = table(x, np.array([[-1000.0, 0, 0, 0], [3000.0, 5, 0, 0], [0, 2000.0, 1, 1]]))
     d = np.sqrt(((x[:, None].astype(float) - x.astype(float)) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     tau = np.sort(d, axis=1)[:, 4] * (1 + 1e-6)
-    q, n, _ = topk.search_block(np.arange(400), x, pd, tau, np.arange(400), x, pd, 5)
+    q, n, *_ = topk.search_block(np.arange(400), x, pd, tau, np.arange(400), x, pd, 5)
     want = {(i, j) for i in range(400) for j in np.flatnonzero(d[i] <= np.sort(d[i])[4])}
     assert want <= set(zip(q.tolist(), n.tolist()))
 
 
+def test_topk_stops_at_the_bound():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (2000, 3)).astype(np.float32)
+    pd = table(x, topk.farthest_first(x.astype(float), 16))
+    d = np.sqrt(((x[:50, None].astype(float) - x.astype(float)) ** 2).sum(axis=2))
+    d[np.arange(50), np.arange(50)] = np.inf
+    kth = np.sort(d, axis=1)[:, 4]
+    *_, evaluated = topk.search_block(np.arange(50), x[:50], pd[:50], np.full(50, np.inf), np.arange(2000), x, pd, 5)
+    bound = np.abs(pd[:50, None] - pd[None]).max(axis=2)
+    needed = int(((bound <= kth[:, None] + 1e-4) & np.isfinite(d)).sum())
+    assert needed - 50 <= evaluated <= needed + 50 * topk.STEP  # a step at most beyond the stop of a query
+    assert evaluated < 0.1 * 50 * 2000
+
+
 def test_topk_of_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [5.0, 0.0]), (8, [])]
-    d = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<float>, distance double")
-    got = sorted(map(tuple, topk.neighbours(d, 3).collect()))
+    d = spark.createDataFrame([(*r, 1.0, 2, 3) for r in rows], "vec_id long, embedding array<float>, distance double, block int, q int")
+    got = sorted(map(tuple, topk.neighbours(d, 3, 1).collect()))
     assert got == [(1, 1, 2, 1.0), (1, 2, 7, 5.0), (2, 1, 1, 1.0), (2, 2, 7, 4.0), (7, 1, 2, 4.0), (7, 2, 1, 5.0)]
-    assert topk.neighbours(d.limit(0)).count() == 0
+    assert topk.neighbours(d, 3, 2).count() == 2 and topk.neighbours(d.limit(0)).count() == 0
 
 
 CASES = ["", " ", "it's they'll 'lx 're", "a   b", "  x\n\n y  ", "日本語 テスト", "é①ﬁ\n\nx\ty", "🎉🎉 party", "a" * 300, "....... !!", "x\t\ty  z", "\n\n\nword", "the Thonwhst. erthand, 12345 a1b2"]
