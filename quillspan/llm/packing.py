@@ -1,5 +1,6 @@
 """Best-fit packing with vector capacities.
 
+Texts are encoded by the tokenizer whose counts `tokens` gives for every prefix.
 An item is a document, or a part of at most `chunk` tokens of a longer one, with
 three demands: tokens, one document, and attention cost (tokens squared). A bin
 has a capacity for each. Items are taken by falling size; each goes to the open
@@ -7,32 +8,40 @@ bin that is feasible in every demand and best by the norm of the residual left
 there (rule "norm") or by the weighted dot product of demand and residual (rule
 "dot"); if none is feasible, a bin is opened.
 
-Shards of about SHARD_ITEMS items, by a hash of the id, are packed side by side.
+Only numbers of items are packed; their tokens join them at the end, so that a
+packed row has what it stands for: the rows of a bin by (doc_id, part) are its
+content, and no bin has more tokens than its capacity.
+
+Shards of about SHARD_ITEMS items, by a hash, are packed side by side.
 The items of bins that stayed under FULL go on to the next round, in a sixteenth
 of the shards, until one shard is left, so the waste of the shards' last bins
-doesn't add up. Everything follows from the rows alone: a lost task gives the
-same bins again.
+doesn't add up. Items are numbered and kept before they are packed, so a lost task gives
+the same bins again.
 
 Defined results: a null or empty text has no tokens and gets one row with a null
 bin; a null id is an item like any other; repeated rows are items of their own;
-ties go to the older bin, and items of one size go by (id, part).
+a very long text is cut into as many parts as it takes; ties go to the older
+bin, and items of one size go by (id, part); an empty table gives no rows; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import cut, read
+from quillspan.llm import tokens as prefix
+from quillspan.llm.common import buffers, cut, read, release
 
 TOKENS, DOCUMENTS, CHUNK = 4096, 32, 2048
 #: Three quarters of what two full parts side by side would cost.
 ATTENTION = 3 * CHUNK * CHUNK // 2
 SHARD_ITEMS = 16_384
 FULL = 0.97
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 NO_ID = -(1 << 63)
 
 
@@ -66,42 +75,90 @@ def best_fit(tokens: np.ndarray, capacity: tuple[int, int, int], rule: str = "no
     return out
 
 
-def items(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(id, part, start, n_tokens) of all parts of the documents."""
-    n = F.coalesce(F.regexp_count("text", F.lit(TOKEN_PATTERN)), F.lit(0))
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), n.cast("long").alias("n"))
-    part = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / chunk) - 1).cast("int")))
-    out = whole.select("id", "n", part.alias("part"))
-    start = F.col("part").cast("long") * chunk
-    return out.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "part", start.alias("start"), F.least(F.lit(chunk), F.col("n") - start).cast("long").alias("n_tokens"))
+_encoders: dict[str, object] = {}
+
+
+def encoder(vocabulary: str = prefix.VOCABULARY):
+    """The library's encoder of this vocabulary, with the pre-tokenizer of `tokens`."""
+    if vocabulary not in _encoders:
+        import tiktoken
+
+        with open(vocabulary, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _encoders[vocabulary] = tiktoken.Encoding("pack", pat_str=prefix.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[vocabulary]
+
+
+def _kind(vocabulary: str) -> str:
+    """How tokens travel: in two bytes where the vocabulary allows it."""
+    return "<u2" if encoder(vocabulary).max_token_value < 1 << 16 else "<u4"
+
+
+#: Rows that are encoded at once.
+ROWS = 1024
+ITEMS = "id long, part int, start long, n_tokens long, tokens binary"
+
+
+def items(docs: DataFrame, chunk: int = CHUNK, vocabulary: str = prefix.VOCABULARY) -> DataFrame:
+    """(id, part, start, n_tokens, tokens) of all parts of the documents; tokens as bytes of _kind."""
+
+    def run(batches):
+        enc, kind = encoder(vocabulary), _kind(vocabulary)
+        for big in batches:
+            for a in range(0, big.num_rows, ROWS):
+                b = big.slice(a, ROWS)
+                out: list[list] = [[], [], [], [], []]
+                for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist()):
+                    tok = np.array(enc.encode_ordinary(t) if t else (), kind)
+                    for part in range(max(1, -(-len(tok) // chunk))):
+                        own = tok[part * chunk : (part + 1) * chunk]
+                        for o, x in zip(out, (i, part, part * chunk, len(own), own.tobytes())):
+                            o.append(x)
+                release()
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(o, ty) for o, ty in zip(out, types)], names=[x.split()[0] for x in ITEMS.split(", ")])
+
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    return whole.mapInArrow(run, ITEMS)
+
+
+def _lists(kind: str):
+    wide = np.dtype(kind).itemsize
+
+    def run(batches):
+        for b in batches:
+            flat, offs = buffers(b["tokens"])
+            lists = pa.ListArray.from_arrays(pa.array((offs // wide).astype(np.int32)), pa.array(np.frombuffer(flat.tobytes(), kind).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([lists if n == "tokens" else c for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
+
+    return run
 
 
-def pack(docs: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, chunk: int = CHUNK, rule: str = "norm", shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(bin_id, doc_id, part, start, n_tokens): every token of every document in exactly one bin."""
+def pack(docs: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, chunk: int = CHUNK, rule: str = "norm", shard_items: int = SHARD_ITEMS, vocabulary: str = prefix.VOCABULARY) -> DataFrame:
+    """(bin_id, doc_id, part, start, n_tokens, tokens): every token of every document in exactly one bin; start is the place of the part's first token."""
     if chunk > tokens or chunk * chunk > attention or documents < 1:
         raise ValueError("a full part must fit an empty bin")
     cap = (tokens, documents, attention)
-    todo = cut(items(docs, chunk))
-    empty = todo.where("n_tokens = 0").select(F.lit(None).cast("long").alias("bin_id"), "id", "part", "start", "n_tokens")
-    todo = todo.where("n_tokens > 0")
+    every = cut(items(docs, chunk, vocabulary).withColumn("uid", F.monotonically_increasing_id()))
+    todo = every.where("n_tokens > 0").select("uid", "id", "part", "n_tokens")
     shards = max(1, -(-todo.count() // shard_items))
-    schema = "bin_id long, id long, part int, start long, n_tokens long, done boolean"
-    done, base = [empty], 0
+    schema = "bin_id long, uid long, id long, part int, n_tokens long, done boolean"
+    done, base = [], 0
     while True:
         last = shards == 1
 
         def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            tok, ids, part = t["n_tokens"].to_numpy(), t["id"].to_numpy(), t["part"].to_numpy()
-            order = np.lexsort((part, ids, -tok))
+            tok, uid, ids, part = (t[c].to_numpy() for c in ("n_tokens", "uid", "id", "part"))
+            order = np.lexsort((uid, part, ids, -tok))
             b = best_fit(tok[order], cap, rule)
-            t = t.select(["id", "part", "start", "n_tokens"]).take(pa.array(order))
+            t = t.select(["uid", "id", "part", "n_tokens"]).take(pa.array(order))
             fill = np.zeros((int(b.max()) + 1, 3))
             np.add.at(fill, b, np.stack([tok[order] / cap[0], np.full(len(b), 1 / cap[1]), tok[order].astype(float) ** 2 / cap[2]], axis=1))
             ready = np.ones(len(b), bool) if last else (fill.max(axis=1) >= FULL)[b]
             name = (np.int64(key[0].as_py()) << 32) + b
-            return pa.table([pa.array(name), *t.columns, pa.array(ready)], names=["bin_id", "id", "part", "start", "n_tokens", "done"])
+            return pa.table([pa.array(name), *t.columns, pa.array(ready)], names=["bin_id", "uid", "id", "part", "n_tokens", "done"])
 
-        keyed = todo.withColumn("shard", F.lit(base) + F.pmod(F.xxhash64("id", "part"), F.lit(shards)))
+        keyed = todo.withColumn("shard", F.lit(base) + F.pmod(F.xxhash64("uid"), F.lit(shards)))
         placed = keyed.groupBy("shard").applyInArrow(run, schema)
         if last:
             done.append(placed.drop("done"))
@@ -110,10 +167,11 @@ def pack(docs: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, atte
         done.append(placed.where("done").drop("done"))
         todo = placed.where("NOT done").drop("done", "bin_id")
         base, shards = base + shards, -(-shards // 16)
-    out = done[0]
+    bins = done[0].select("uid", "bin_id")
     for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("bin_id", F.expr(f"nullif(id, {NO_ID}L)").alias("doc_id"), "part", "start", "n_tokens")
+        bins = bins.unionByName(d.select("uid", "bin_id"))
+    out = every.join(bins, "uid", "left").select("bin_id", F.expr(f"nullif(id, {NO_ID}L)").alias("doc_id"), "part", "start", "n_tokens", "tokens")
+    return out.mapInArrow(_lists(_kind(vocabulary)), "bin_id long, doc_id long, part int, start long, n_tokens long, tokens array<int>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -192,22 +192,33 @@ def test_best_fit_is_the_plain_one(rule):
 def test_packing_keeps_every_token_once(spark, shard):
     rows = corpus(1, 60) + ODD
     cap = dict(tokens=200, documents=5, attention=30_000, chunk=100)
-    got = packing.pack(docs(spark, rows), shard_items=shard, **cap).collect()
-    word = re.compile(r"[^\W_]+|_+|[^\w\s]")
+    clash = docs(spark, rows).selectExpr("*", "1 AS uid", "2 AS id", "3 AS tokens", "4 AS part", "5 AS shard")
+    got = packing.pack(clash, shard_items=shard, **cap).collect()
+    enc = packing.encoder()
     bins: dict = {}
     for r in got:
+        assert len(r.tokens) == r.n_tokens and r.start == 100 * r.part
         if r.bin_id is None:
             assert r.n_tokens == 0
         else:
             bins.setdefault(r.bin_id, []).append(r.n_tokens)
     assert all(sum(b) <= 200 and len(b) <= 5 and sum(x * x for x in b) <= 30_000 for b in bins.values())
-    per: dict = {}
-    for r in got:
-        per.setdefault(r.doc_id, []).append(r.n_tokens)
-    want: dict = {}
+    have = sorted(str((r.doc_id, r.part, r.tokens)) for r in got)
+    want, sizes = [], []
     for i, x in rows:
-        want[i] = want.get(i, 0) + len(word.findall(x or ""))
-    assert {k: sum(v) for k, v in per.items()} == want
+        tok = enc.encode_ordinary(x or "")
+        assert enc.decode(tok) == (x or "")
+        for part in range(max(1, -(-len(tok) // 100))):
+            own = tok[part * 100 : (part + 1) * 100]
+            want.append(str((i, part, own)))
+            sizes += [len(own)] if own else []
+    assert have == sorted(want)
+    if shard > 100:  # one shard: the same bins as plain loops make
+        sizes.sort(reverse=True)
+        plain: dict = {}
+        for n, b in zip(sizes, slow_fit(sizes, (200, 5, 30_000), "norm")):
+            plain.setdefault(b, []).append(n)
+        assert sorted(map(sorted, bins.values())) == sorted(map(sorted, plain.values()))
     assert packing.pack(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs(spark, []), tokens=10, chunk=20)
