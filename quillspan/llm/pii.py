@@ -40,15 +40,15 @@ THRESHOLD = 0.5
 SHAPE_BUCKETS = 64
 WINDOW = 48
 
-CANDIDATE = re.compile(
-    r"""(?P<email>(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*)
+PLAIN = r"""(?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)*)
       | (?P<ip>(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d))
       | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))
       | (?P<phone>(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3,4}[ .-]\d{4})(?!\d))
       | (?P<secret>(?:token|passw(?:or)?d|passwd|pwd|secret|api_?key|access_?key|auth)\w{0,16}\s{0,2}[=:]\s{0,2}["']?[^\s"']{8,}["']?
-          | (?<![\w./+-])(?=[A-Za-z_-]*\d)(?=[\d_-]*[A-Za-z])[A-Za-z0-9_-]{16,}(?![\w@]))""",
-    re.X | re.I,
-)
+          | (?<![\w./+-])(?=[A-Za-z_-]*+\d)(?=[\d_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}(?![\w@]))"""
+#: What any candidate begins with, tried first: a place after no sign of a run, or one of the signs that numbers and names of secrets begin with.
+BEGIN = r"(?:(?<![\w.+-])|(?=[\d(+tpsa]))"
+CANDIDATE = re.compile(f"{BEGIN}(?:{PLAIN})", re.X | re.I)
 STRICT = {
     "email": re.compile(r"[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
     "ip": re.compile(r"(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}"),
