@@ -12,7 +12,8 @@ BULLET = f"^{WS}*[-*+]({WS}|$)"
 DECIMAL = rf"^{WS}*(\(([0-9]+|#)\)|([0-9]+|#)[.)])({WS}|$)"
 ROMAN_BODY = "M*(CM)?D?(CD)?C*(XC)?L?(XL)?X*(IX)?V?(IV)?I*"
 FANCY = rf"^{WS}*(\(([A-Za-z]|[MDCLXVI]+|[mdclxvi]+)\)|([A-Za-z]|[MDCLXVI]+|[mdclxvi]+)[.)])({WS}|$)"
-EXAMPLE = rf"^{WS}*(\(@[0-9A-Za-z_-]*\)|@[0-9A-Za-z_-]*[.)])({WS}|$)"
+#: \w is any letter, digit or underscore here: Java needs (?U) for that, see `java`.
+EXAMPLE = rf"^{WS}*(\(@[\w-]*\)|@[\w-]*[.)])({WS}|$)"
 FENCE = f"^{WS}*(`{{3,}}|~{{3,}})"
 FENCE_OPEN = f"^{WS}*(`{{3,}}[^`]*|~{{3,}}.*)$"
 FRONT = f"^---{WS}*$"
@@ -49,3 +50,13 @@ FOOTNOTE_REF = r"\[\^([^\]\[]+)\]"
 CITE_KEY = r"@([0-9A-Za-z_]([0-9A-Za-z_]|[:.#$%&+?<>~/-][0-9A-Za-z_])*)"
 EXTERNAL = "^([A-Za-z][A-Za-z0-9+.-]*:|//)"
 WORD = "[A-Za-z][A-Za-z'’-]*"
+
+
+def java(pattern: str) -> str:
+    """A pattern of this table for Spark."""
+    return "(?U)" + pattern if r"\w" in pattern else pattern
+
+
+def re2(pattern: str) -> str:
+    """A pattern of this table for DuckDB."""
+    return pattern.replace(r"\w", r"\p{L}\p{N}_")

@@ -57,6 +57,10 @@ def roman_value(s: str) -> int:
     return sum(-a if a < b else a for a, b in zip(v, v[1:] + [0]))
 
 
+#: Values that one letter spells, and the greatest that is taken for a place in a list.
+ONE_LETTER, LIST_NUMERAL = (1, 5, 10, 50, 100, 500, 1000), 30
+
+
 def marker(s: str, fancy: bool = True) -> tuple[str, int] | None:
     """(style, characters of indent and marker) of a list item's line."""
     if _c["BULLET"].match(s):
@@ -74,15 +78,29 @@ def marker(s: str, fancy: bool = True) -> tuple[str, int] | None:
                 return None
             if len(word) > 1 and not roman_value(word):
                 return None
-            if word.isupper() and shape == "." and len(word) == 1:
+            if word.isupper() and shape == "." and (len(word) == 1 or roman_value(word) in ONE_LETTER):
                 rest = s[end:]
                 if rest and columns(rest, len(rest) - len(rest.lstrip(" \t")), 0) < 2:
                     return None
-            kind = ("roman" if roman_value(word) and (len(word) > 1 or word.lower() == "i") else "alpha") + ("-upper" if word.isupper() else "-lower")
+            kind = ("roman" if roman_value(word) else "alpha") + ("-upper" if word.isupper() else "-lower")
         return f"{kind}{shape}", end
     return None
 
 
+def doubtful(s: str) -> bool:
+    """Whether a line that opens a block may not be the list item that it reads as: an initial, a labelled example, a word that is a numeral."""
+    if re.match(P.INITIAL, s):
+        return True
+    m = marker(s)
+    if not m or m[0] == "bullet":
+        return False
+    body = s[: m[1]].strip(" \t")
+    if m[0].startswith("example"):
+        return len(body.strip("(@).")) > 0
+    word = body[:-1]
+    return len(word) > 1 and word.islower() and word.isalpha() and roman_value(word) > LIST_NUMERAL
+
+
 def content_column(s: str, m: tuple[str, int]) -> int:
     indent = len(s) - len(s.lstrip(" \t"))
     col = columns(s, indent) + m[1] - indent

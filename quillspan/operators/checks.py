@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.kept import kept
 from quillspan.operators.links import FINDING, Graph, bare, external, finding, label_key, resolve, split_target, union
+from quillspan.operators import rewrite
 from quillspan.operators.structure import headings, slice_bytes
 
 
@@ -202,7 +204,8 @@ def precede(findings: DataFrame, found: DataFrame, suppress: Sequence[str] = ())
 
 
 def check(records: DataFrame, docs: DataFrame, files: DataFrame, roots: Sequence[str] = (), suppress: Sequence[str] = (), dialect: DataFrame | None = None) -> DataFrame:
-    """All structural and link findings of a repository; order by path, line and rule to print."""
+    """All structural and link findings of a repository; `ordered` sorts them to print. The records are kept, so that all rules read one parse."""
+    records = kept(records)
     g = Graph(records)
     missing = missing_assets(records, files, roots)
     parts = [heading_skips(records), image_alts(records), missing, fence_languages(records, docs), unterminated_fences(records), duplicate_definitions(g), lossy_math(records, docs), anchor_collisions(records), g.findings(files, docs.select("path"))]
@@ -211,6 +214,24 @@ def check(records: DataFrame, docs: DataFrame, files: DataFrame, roots: Sequence
     return precede(union([p.select(*FINDING) for p in parts]), found_assets(records, missing), suppress)
 
 
-def exit_code(findings: DataFrame, warnings: bool = False) -> int:
-    """0 clean, 1 with errors, or with warnings where these count."""
+def dialect(docs: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+    """Required repairs as errors, since the document isn't canonical with them open, and lints as warnings; rules begin with dialect."""
+    paths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "path")
+    fix = rewrite.hits(rewrite.rewrite_documents(docs) if rewritten is None else rewritten).where(F.col("rule").isin(*rewrite.REQUIRED)).withColumn("severity", F.lit("error"))
+    lint = rewrite.lint_documents(docs).withColumn("severity", F.lit("warning"))
+    label = F.create_map(*[F.lit(x) for r in rewrite.RULES for x in (r, rewrite.LABELS[r])])[F.col("rule")]
+    rows = fix.unionByName(lint).join(paths, "doc_id").withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
+    message = F.when(F.col("severity") == "error", F.concat(F.lit("not canonical: "), label)).otherwise(label)
+    return finding(rows, F.concat(F.lit("dialect."), "rule"), F.col("severity"), message)
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings as they are printed: by path, line and rule."""
+    return findings.orderBy("path", "line", "rule", "start", "message")
+
+
+def exit_code(findings: DataFrame | None, warnings: bool = False) -> int:
+    """0 clean, 1 with errors, or with warnings where these count, 2 where the run itself failed and there are none."""
+    if findings is None:
+        return 2
     return int(findings.where("severity = 'error'" if not warnings else "true").limit(1).count() > 0)

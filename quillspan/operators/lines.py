@@ -13,8 +13,7 @@ PREDICATES: dict[str, tuple[str, str | None]] = {
     "l02_atx_heading": (P.ATX, None),
     "l05_bullet": (P.BULLET, P.BREAK),
     "l06_decimal_ordered": (P.DECIMAL, None),
-    "l08_example_marker": (P.EXAMPLE, None),
-    "l09_fancy_marker": (P.FANCY, rf"^{P.WS}*(p\. [0-9]|[A-Z]\.( [^ ]|$))"),
+    "l08_example_marker": (P.java(P.EXAMPLE), None),
     "l10_empty_item": (rf"^{P.WS}*([-*+]|([0-9]+|#)[.)]|\(([0-9]+|#)\)){P.WS}*$", None),
     "l12_fence_prefix": (P.FENCE, None),
     "l13_fence_opener": (P.FENCE_OPEN, None),
@@ -34,7 +33,6 @@ PREDICATES: dict[str, tuple[str, str | None]] = {
     "l28_title_line": (P.TITLE_LINE, None),
     "l29_thematic_break": (P.BREAK, None),
     "l31_initial_marker": (P.INITIAL, None),
-    "l32_marker_doubt": (rf"^{P.WS}*([A-Z]\. [^ ]|\(?@[0-9A-Za-z_-]+[.)] |(mix|did|mild|civil|dim|lid|mid|vim|livid|vivid)[.)] )", None),
     "l33_would_start_block": (rf"^{P.WS}*([-*+]( |$)|([0-9]+|#)[.)]( |$)|>|\||`{{3,}}|~{{3,}}|#{{1,6}}( |$)|<[!?/A-Za-z])", None),
 }
 
@@ -61,7 +59,7 @@ def matches(name: str, text: str = "text") -> Column:
 
 def features(rows: DataFrame) -> DataFrame:
     """All predicates of every line in one projection."""
-    return rows.select("*", *(matches(n).alias(n) for n in PREDICATES), indent().alias("l03_indent"), roman().alias("l07_roman"), html_kind().alias("l17_html_kind"), html_closes().alias("l18_html_closes"))
+    return rows.select("*", *(matches(n).alias(n) for n in PREDICATES), fancy().alias("l09_fancy_marker"), doubtful().alias("l32_marker_doubt"), indent().alias("l03_indent"), roman().alias("l07_roman"), html_kind().alias("l17_html_kind"), html_closes().alias("l18_html_closes"))
 
 
 def indent(text: str = "text") -> Column:
@@ -71,15 +69,62 @@ def indent(text: str = "text") -> Column:
     return F.aggregate(signs, F.lit(0), lambda n, c: F.when(c == "\t", n + 4 - n % 4).otherwise(n + 1)).cast("int")
 
 
+#: Kind of marker -> what it looks like, without what follows.
+MARKERS = {"bullet": "[-*+]", "decimal": r"(?:\((?:[0-9]+|#)\)|(?:[0-9]+|#)[.)])", "example": r"(?:\(@[\w-]*\)|@[\w-]*[.)])", "fancy": r"(?:\([A-Za-z]+\)|[A-Za-z]+[.)])"}
+
+
+def marker(text: str = "text") -> Column:
+    """The marker that a line begins with, or null: a bullet, a number, an example's label, a letter or a numeral."""
+    out = None
+    for kind, p in MARKERS.items():
+        m = F.regexp_extract(text, f"(?U)^[ \t]*({p})", 1)
+        hit = m != ""
+        if kind == "fancy":
+            hit = hit & ((F.length(F.regexp_replace(m, "[().]", "")) == 1) | (F.coalesce(roman(text), F.lit(0)) > 0))
+        out = F.when(hit, m) if out is None else out.when(hit, m)
+    return out
+
+
 def separator(text: str = "text") -> Column:
-    """Columns of blanks between a bullet and what follows; 99 at the end of the line."""
-    blanks = F.regexp_extract(text, "^[ \t]*[-*+]([ \t]*)", 1)
-    return F.when(F.col(text).rlike("^[ \t]*[-*+][ \t]*$"), F.lit(99)).when(F.col(text).rlike(P.BULLET), F.length(F.regexp_replace(blanks, "\t", "    ")))
+    """Columns of blanks between a line's marker and what follows, tab stop 4; 99 at the end of the line, null without any."""
+    mark = marker(text)
+    rest = F.expr(f"substring({text}, length(regexp_extract({text}, '^([ \t]*)', 1)) + 1)")
+    blanks = F.regexp_extract(F.substring(rest, F.length(mark) + 1, F.length(rest)), "^([ \t]*)", 1)
+    signs = F.filter(F.split(blanks, ""), lambda c: c != "")
+    begin = indent(text) + F.length(mark)
+    width = F.aggregate(signs, begin, lambda n, c: F.when(c == "\t", n + 4 - n % 4).otherwise(n + 1)) - begin
+    return F.when(F.length(mark) + F.length(blanks) == F.length(rest), F.lit(99)).when(width > 0, width).cast("int")
+
+
+def fancy(text: str = "text") -> Column:
+    """Whether a line has a fancy marker: an example's, a letter or a numeral; a capital before a period that may be an initial needs two columns, and `p. 9` is a page."""
+    mark, value = marker(text), F.coalesce(roman(text), F.lit(0))
+    word = F.regexp_replace(mark, "[().]", "")
+    need = F.when(mark.rlike(r"^[A-Z]+\.$") & ((F.length(word) == 1) | value.isin(1, 5, 10, 50, 100, 500, 1000)), 2).otherwise(1)
+    kind = mark.rlike(r"^\(?(@|[A-Za-z])")
+    return F.coalesce(kind & (separator(text) >= need) & ~F.col(text).rlike(r"^[ \t]*p\. [0-9]"), F.lit(False))
+
+
+def doubtful(text: str = "text") -> Column:
+    """Whether a marker may be none: an initial, a labelled example, a word that is a numeral beyond 30."""
+    mark = marker(text)
+    label = mark.rlike(r"^\(?@[^.)]")
+    word = mark.rlike(r"^[a-z]{2,}[.)]$") & (roman(text) > 30)
+    return F.coalesce(F.col(text).rlike(P.INITIAL), F.lit(False)) | (fancy(text) & F.coalesce(label | word, F.lit(False)))
 
 
 def content_column(text: str = "text") -> Column:
-    """Column where a bulleted item's content begins."""
-    return F.when(F.col(text).rlike(P.BULLET), indent(text) + 1 + F.when(separator(text) == 99, F.lit(1)).otherwise(separator(text))).cast("int")
+    """Column where a listed item's content begins; a marker at the end of the line has one blank after it."""
+    listed = F.col(text).rlike(P.BULLET) | F.col(text).rlike(P.DECIMAL) | fancy(text)
+    sep = separator(text)
+    return F.when(listed & sep.isNotNull(), indent(text) + F.length(marker(text)) + F.when(sep == 99, F.greatest(F.lit(1), _trailing(text))).otherwise(sep)).cast("int")
+
+
+def _trailing(text: str) -> Column:
+    """Columns of the blanks after a marker that ends its line."""
+    begin = indent(text) + F.length(marker(text))
+    signs = F.filter(F.split(F.regexp_extract(text, "([ \t]*)$", 1), ""), lambda c: c != "")
+    return F.aggregate(signs, begin, lambda n, c: F.when(c == "\t", n + 4 - n % 4).otherwise(n + 1)) - begin
 
 
 def roman(text: str = "text") -> Column:
@@ -92,19 +137,22 @@ def roman(text: str = "text") -> Column:
 
 
 def style(text: str = "text") -> Column:
-    """Style of a list item's line: bullet, or kind and delimiter."""
-    mark = F.regexp_extract(text, rf"^[ \t]*(\([^)]*\)|[^ \t]+?[.)])([ \t]|$)", 1)
+    """Style of a list item's line: bullet, or kind, case and delimiter."""
+    mark = marker(text)
     shape = F.when(mark.startswith("("), "()").otherwise(F.substring(mark, -1, 1))
-    kind = F.when(F.col(text).rlike(P.DECIMAL), "decimal").when(F.col(text).rlike(P.EXAMPLE), "example")
+    case = F.when(mark.rlike("[A-Z]"), "-upper").otherwise("-lower")
+    kind = F.when(F.col(text).rlike(P.DECIMAL), "decimal").when(F.col(text).rlike(P.java(P.EXAMPLE)), "example").when(fancy(text), F.concat(F.when(roman(text) > 0, "roman").otherwise("alpha"), case))
     return F.when(matches("l05_bullet", text), "bullet").when(kind.isNotNull(), F.concat(kind, shape))
 
 
-def line_class(text: str = "text") -> Column:
+def line_class(text: str = "text", paragraph_open: bool = False) -> Column:
+    """Class of a line; in an open paragraph an empty item and a fancy marker are text."""
     c = F.col(text)
-    return (
-        F.when(c.rlike(P.BLANK), "BLANK").when(c.rlike(P.FRONT_END), "FMATTER").when(c.rlike(P.FENCE_OPEN), "FENCE").when(c.rlike(P.ATX), "HEADING")
-        .when(matches("l05_bullet", text), "BULLET").when(c.rlike(P.DECIMAL), "ORDERED").otherwise("TEXT")
-    )
+    out = F.when(c.rlike(P.BLANK), "BLANK").when(c.rlike(P.FRONT_END), "FMATTER").when(c.rlike(P.FENCE_OPEN), "FENCE").when(c.rlike(P.ATX), "HEADING")
+    if paragraph_open:
+        out = out.when(matches("l10_empty_item", text), "TEXT")
+    out = out.when(matches("l05_bullet", text), "BULLET").when(c.rlike(P.DECIMAL), "ORDERED")
+    return (out if paragraph_open else out.when(fancy(text), "ORDERED")).otherwise("TEXT")
 
 
 def html_kind(text: str = "text") -> Column:

@@ -27,6 +27,16 @@ RULES = {
     "heading.canonical": "fix", "fence.canonical": "fix", "link.autolink-bare": "fix", "heading.scrivener-split": "fix", "whitespace.trailing": "fix", "chicago.serial-comma": "warning",
     "chicago.number-style": "warning", "unicode.non-nfc": "warning", "fence.unterminated": "warning", "list.marker-ambiguous": "warning",
 }
+#: What a rule does, in words for reports.
+LABELS = {
+    "list.blank-before": "blank line before a list", "list.blank-after": "blank line after a list", "heading.atx-space": "one space after the signs of a heading", "list.marker-column": "two columns after a capital marker",
+    "list.bullet-style": "hyphens for bullets", "heading.emphasis": "no emphasis in a heading", "emphasis.bold-colon": "colon inside of bold", "punct.arrow-aside": "dash for an arrow between words",
+    "blockquote.space": "space after a quote sign", "chicago.emdash-spacing": "spacing of dashes", "chicago.ellipsis": "one sign for an ellipsis", "chicago.sentence-space": "one space between sentences",
+    "chicago.space-before-punct": "no space before punctuation", "chicago.space-after-punct": "space after punctuation", "chicago.quote-terminal-punct": "punctuation inside of quotes", "chicago.abbrev-comma": "comma after an abbreviation",
+    "chicago.etal-period": "period after al", "footnote.ref-format": "form of a note's reference", "footnote.def-format": "form of a note", "heading.canonical": "no closing signs of a heading", "fence.canonical": "form of a fence",
+    "link.autolink-bare": "brackets around an address", "heading.scrivener-split": "heading split over two lines", "whitespace.trailing": "blanks at the end of a line", "chicago.serial-comma": "comma before the last of a series",
+    "chicago.number-style": "small number in figures", "unicode.non-nfc": "code points that aren't composed", "fence.unterminated": "fence without an end", "list.marker-ambiguous": "marker that may be an initial, a citation or a word",
+}
 REQUIRED = ("list.blank-before", "list.blank-after", "heading.atx-space", "list.marker-column")
 
 
@@ -335,8 +345,7 @@ def lints(text: str, o: Options = Options()) -> list[tuple[str, int]]:
                 out.append(("chicago.serial-comma", i + 1))
             if o.number_style and any(not _LABELLED.search(s[: m.start()]) for m in _LONE.finditer(s)):
                 out.append(("chicago.number-style", i + 1))
-            m = B.marker(s)
-            if not open_ and (re.match(P.INITIAL, s) or (m and m[0].startswith("roman-lower") and B.roman_value(s.strip().split(".")[0].strip("()")) > 30)):
+            if not open_ and B.doubtful(s):
                 out.append(("list.marker-ambiguous", i + 1))
         open_ = kinds[i] == "paragraph"
     return out

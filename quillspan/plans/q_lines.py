@@ -10,7 +10,7 @@ from quillspan.plans.recipes import LINES_SQL, spelled, spelled_sql, table
 
 
 def _re(p: str) -> str:
-    return "'" + p.replace("'", "''").replace("\t", r"\t").replace("\n", r"\n").replace("\x0b", r"\x0b").replace("\f", r"\f").replace("\r", r"\r") + "'"
+    return "'" + P.re2(p.removeprefix("(?U)")).replace("'", "''").replace("\t", r"\t").replace("\n", r"\n").replace("\x0b", r"\x0b").replace("\f", r"\f").replace("\r", r"\r") + "'"
 
 
 def _predicate(name):
@@ -26,7 +26,6 @@ def _values(name, col, sql):
 
 LEAD = r"regexp_extract(text, '^([ \t]*)', 1)"
 INDENT = f"list_reduce(list_prepend(0, list_transform(string_split({LEAD}, ''), lambda c: CASE WHEN c = chr(9) THEN -1 WHEN c = ' ' THEN 1 ELSE 0 END)), lambda n, c: CASE WHEN c = -1 THEN n + 4 - n % 4 ELSE n + c END)"
-SEP = r"CASE WHEN regexp_matches(text, '^[ \t]*[-*+][ \t]*$') THEN 99 WHEN regexp_matches(text, '^[ \t]*[-*+]([ \t]|$)') THEN length(replace(regexp_extract(text, '^[ \t]*[-*+]([ \t]*)', 1), chr(9), '    ')) END"
 WORD = r"upper(regexp_extract(text, '^[ \t]*\(?([MDCLXVI]+|[mdclxvi]+)[.)]', 1))"
 
 
@@ -39,10 +38,41 @@ ROMAN = (
     f" - 200 * {_count('C[MD]')} - 20 * {_count('X[CL]')} - 2 * {_count('I[XV]')} AS INTEGER) END"
 )
 HTML = "CASE " + " ".join(f"WHEN regexp_matches(text, {_re(p)}) THEN '{k}'" for k, p in P.HTML_KINDS.items()) + " END"
-CLASS = f"CASE WHEN regexp_matches(text, {_re(P.BLANK)}) THEN 'BLANK' WHEN regexp_matches(text, {_re(P.FRONT_END)}) THEN 'FMATTER' WHEN regexp_matches(text, {_re(P.FENCE_OPEN)}) THEN 'FENCE' WHEN regexp_matches(text, {_re(P.ATX)}) THEN 'HEADING' WHEN regexp_matches(text, {_re(P.BULLET)}) AND NOT regexp_matches(text, {_re(P.BREAK)}) THEN 'BULLET' WHEN regexp_matches(text, {_re(P.DECIMAL)}) THEN 'ORDERED' ELSE 'TEXT' END"
-MARK = r"regexp_extract(text, '^[ \t]*(\([^)]*\)|[^ \t]+?[.)])([ \t]|$)', 1)"
-SHAPE = f"CASE WHEN {MARK} LIKE '(%' THEN '()' ELSE right({MARK}, 1) END"
-STYLE = f"CASE WHEN regexp_matches(text, {_re(P.BULLET)}) AND NOT regexp_matches(text, {_re(P.BREAK)}) THEN 'bullet' WHEN regexp_matches(text, {_re(P.DECIMAL)}) THEN 'decimal' || {SHAPE} WHEN regexp_matches(text, {_re(P.EXAMPLE)}) THEN 'example' || {SHAPE} END"
+MARK = (  # written from the rules, not from the table of patterns
+    r"CASE WHEN regexp_matches(text, '^[ \t]*[-*+]') THEN regexp_extract(text, '^[ \t]*([-*+])', 1)"
+    r" WHEN regexp_matches(text, '^[ \t]*(\(([0-9]+|#)\)|([0-9]+|#)[.)])') THEN regexp_extract(text, '^[ \t]*(\([0-9#]+\)|[0-9#]+[.)])', 1)"
+    r" WHEN regexp_matches(text, '^[ \t]*(\(@[\p{L}\p{N}_-]*\)|@[\p{L}\p{N}_-]*[.)])') THEN regexp_extract(text, '^[ \t]*(\(@[\p{L}\p{N}_-]*\)|@[\p{L}\p{N}_-]*[.)])', 1)"
+    rf" WHEN regexp_matches(text, '^[ \t]*(\([A-Za-z]\)|[A-Za-z][.)])') OR coalesce({ROMAN}, 0) > 0 AND regexp_matches(text, '^[ \t]*(\([A-Za-z]+\)|[A-Za-z]+[.)])') THEN regexp_extract(text, '^[ \t]*(\([A-Za-z]+\)|[A-Za-z]+[.)])', 1) END"
+)
+AFTER = "substr(text, length(" + LEAD + ") + length(mark) + 1)"
+
+
+def _fold(blanks, start):
+    return f"list_reduce(list_prepend({start}, list_transform(string_split({blanks}, ''), lambda c: CASE WHEN c = chr(9) THEN -1 WHEN c = ' ' THEN 1 ELSE 0 END)), lambda n, c: CASE WHEN c = -1 THEN n + 4 - n % 4 ELSE n + c END)"
+
+
+WIDTH = _fold(rf"regexp_extract({AFTER}, '^([ \t]*)', 1)", f"({INDENT} + length(mark))") + f" - ({INDENT} + length(mark))"
+EACH = f"(SELECT *, CASE WHEN width > 0 OR ended THEN CASE WHEN ended THEN 99 ELSE width END END AS sep, coalesce({ROMAN}, 0) AS value_ FROM (SELECT *, {WIDTH} AS width, regexp_matches({AFTER}, '^[ \\t]*$') AS ended, {INDENT} AS ind FROM (SELECT *, {MARK} AS mark FROM {spelled_sql()})))"
+FANCY = r"coalesce(regexp_matches(mark, '^\(?[@A-Za-z]') AND sep >= CASE WHEN regexp_matches(mark, '^[A-Z]+\.$') AND (length(mark) = 2 OR value_ IN (1, 5, 10, 50, 100, 500, 1000)) THEN 2 ELSE 1 END AND NOT regexp_matches(text, '^[ \t]*p\. [0-9]'), false)"
+LISTED = rf"(regexp_matches(text, '^[ \t]*[-*+]([ \t]|$)') OR regexp_matches(text, '^[ \t]*(\(([0-9]+|#)\)|([0-9]+|#)[.)])([ \t]|$)') OR {FANCY})"
+HEAD = f"WHEN regexp_matches(text, {_re(P.BLANK)}) THEN 'BLANK' WHEN regexp_matches(text, {_re(P.FRONT_END)}) THEN 'FMATTER' WHEN regexp_matches(text, {_re(P.FENCE_OPEN)}) THEN 'FENCE' WHEN regexp_matches(text, {_re(P.ATX)}) THEN 'HEADING'"
+BULLET = rf"regexp_matches(text, '^[ \t]*[-*+]([ \t]|$)') AND NOT regexp_matches(text, {_re(P.BREAK)})"
+DECIMAL = r"regexp_matches(text, '^[ \t]*(\(([0-9]+|#)\)|([0-9]+|#)[.)])([ \t]|$)')"
+EMPTY = r"regexp_matches(text, '^[ \t]*([-*+]|([0-9]+|#)[.)]|\(([0-9]+|#)\))[ \t]*$')"
+SHAPE = "CASE WHEN mark LIKE '(%' THEN '()' ELSE right(mark, 1) END"
+STYLE = rf"CASE WHEN {BULLET} THEN 'bullet' WHEN {DECIMAL} THEN 'decimal' || {SHAPE} WHEN mark LIKE '%@%' AND sep IS NOT NULL THEN 'example' || {SHAPE} WHEN {FANCY} THEN CASE WHEN value_ > 0 THEN 'roman' ELSE 'alpha' END || CASE WHEN regexp_matches(mark, '[A-Z]') THEN '-upper' ELSE '-lower' END || {SHAPE} END"
+DOUBT = rf"regexp_matches(text, '^[ \t]*[A-Z]\. [^ ]') OR {FANCY} AND (regexp_matches(mark, '^\(?@[^.)]') OR regexp_matches(mark, '^[a-z][a-z]+[.)]$') AND value_ > 30)"
+
+
+def _marked(name, col, sql):
+    """As _values, of expressions over the line's marker."""
+    return name, ((lambda spark, d: spelled(spark, d).select("doc_id", "line_no", col().alias("value")).where("value IS NOT NULL")), f"SELECT doc_id, line_no, value FROM (SELECT *, {sql} AS value FROM {EACH}) WHERE value IS NOT NULL")
+
+
+def _marked_lines(name, col, sql):
+    return name, ((lambda spark, d: spelled(spark, d).where(col()).select("doc_id", "line_no")), f"SELECT doc_id, line_no FROM {EACH} WHERE {sql}")
+
+
 CLOSES = f"CASE WHEN ({HTML}) IS NOT NULL THEN CAST(CASE {HTML} " + " ".join(f"WHEN '{k}' THEN regexp_matches(regexp_replace(text, '^ *<', ''), {_re(p)})" for k, p in P.HTML_ENDS.items()) + " END AS INTEGER) END"
 
 
@@ -51,13 +81,16 @@ def entries():
     out |= dict(
         [
             _values("l03_indent", L.indent, f"CAST({INDENT} AS INTEGER)"),
-            _values("l04_separator", lambda: L.separator().cast("int"), f"CAST({SEP} AS INTEGER)"),
+            _marked("l04_separator", L.separator, "CAST(sep AS INTEGER)"),
+            _marked_lines("l09_fancy_marker", L.fancy, FANCY),
+            _marked_lines("l32_marker_doubt", L.doubtful, DOUBT),
             _values("l07_roman_value", L.roman, ROMAN),
-            _values("l11_list_style", L.style, STYLE),
-            _values("l16_line_class", L.line_class, CLASS),
+            _marked("l11_list_style", L.style, STYLE),
+            _marked("l16_line_class", L.line_class, f"CASE {HEAD} WHEN {BULLET} THEN 'BULLET' WHEN {DECIMAL} OR {FANCY} THEN 'ORDERED' ELSE 'TEXT' END"),
+            _marked("l16_line_class_open", lambda: L.line_class(paragraph_open=True), f"CASE {HEAD} WHEN {EMPTY} THEN 'TEXT' WHEN {BULLET} THEN 'BULLET' WHEN {DECIMAL} THEN 'ORDERED' ELSE 'TEXT' END"),
             _values("l17_html_kind", L.html_kind, HTML),
             _values("l18_html_closes", lambda: F.when(L.html_kind().isNotNull(), L.html_closes().cast("int")), CLOSES),
-            _values("l20_content_column", L.content_column, rf"CASE WHEN regexp_matches(text, {_re(P.BULLET)}) THEN CAST({INDENT} + 1 + CASE WHEN ({SEP}) = 99 THEN 1 ELSE ({SEP}) END AS INTEGER) END"),
+            _marked("l20_content_column", L.content_column, f"CASE WHEN {LISTED} THEN CAST(ind + length(mark) + CASE WHEN ended THEN greatest(1, width) ELSE sep END AS INTEGER) END"),
         ]
     )
     out["l30_hard_break"] = (

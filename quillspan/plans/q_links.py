@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators.kept import kept
 from quillspan.operators import blocks as B
 from quillspan.operators import checks as C
 from quillspan.operators import edits as E
@@ -19,7 +20,7 @@ SLUG = "replace(lower(n_name), ' ', '-')"
 def _g(recipe, make, *cols):
     def run(spark, d):
         docs = recipe(spark, d)
-        out = make(G.Graph(B.records(docs)), docs)
+        out = make(G.Graph(kept(B.records(docs))), docs)
         return out.selectExpr(*(cols or ("doc_id", "rule", "severity", "line")))
 
     return run

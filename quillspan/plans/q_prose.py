@@ -26,7 +26,9 @@ FROM (SELECT *, len(w) AS nw, len(s) AS ns, list_sum(list_transform(w, lambda x:
       FROM (SELECT doc_id, {W} AS w, {SENT} AS s FROM documents))
 """
 EMB = "list_transform(range(0, 256), lambda b: coalesce(list_sum(list_transform(list_filter({0}, lambda x: x[1] = b), lambda x: x[2])), 0))"
-BUCKETS = "list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''), lambda t: [CAST('0x' || sha256(t)[1:2] AS INTEGER), CASE WHEN CAST('0x' || sha256(t)[9:10] AS INTEGER) % 2 = 0 THEN -1 ELSE 1 END])"
+TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')"
+PLACE = "[CAST('0x' || sha256(t)[{0}:{1}] AS INTEGER), CASE WHEN CAST('0x' || sha256(t)[{0}:{1}] AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END]"
+BUCKETS = f"list_concat(list_transform({TOKENS}, lambda t: {PLACE.format(1, 2)}), list_transform({TOKENS}, lambda t: {PLACE.format(9, 10)}))"
 
 
 def _turns(spark, d):

@@ -148,6 +148,8 @@ def edits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 #: Lines as authors spell them; predicates are also run over these.
 SPELLED = [
+    "mix. text", "cd) text", "xl. item", "did. text", "(iv)\tx", "@ключ. text", "(@a-b) text", "@. anonymous", "A.  two", "A.", "A.\tx", "I. x", "I.  x", "IV. y", "XX. y", "V.", "iii)", "-\tx", " \t- x", "10)\t\ty", "#.   z", "*", "+  ",
+    "p.  9", "p. 9", "p) 9", "q. word", "(Q) word", "VIV. loose", "xxxi. past thirty", "xxx. thirty",
     "", "   ", "\t", "# T", "#T", "####### x", "    # x", "- a", "* a", "+ a", "-", "  - b", "-x", "1. a", "1) a", "(1) a", "#. a", "(#) x", "1.x", "12.", "iv. x", "IV. x", "IV.  x", "a. x", "A. x", "A.  x", "(a) x", "p. 9", "did. x",
     "@lab. x", "(@lab) x", "(@) x", "@x", "```", "```py", "~~~ x", "``` `a`", "--- ", "---", "...", "----", "  cont", "| a | b |", "+---+---+", "+:--+", "-- --", "--- --- ---", "|---|---|", "a | b", "> q", "     > q", ">q", "===", "==", "--", "= =",
     "[a]: http://x", "[^n]: note", "   [a b]:x", "[]: x", "  'title'", "  \"t\"", "  (t)", "* * *", "___", "_ _ _", "-*-", "text", "text  ", "text\t", "<!-- c -->", "<!-- c", "<![CDATA[ x", "<?php", "<!DOCTYPE html>", "<script>", "<SCRIPT src=x>", "<scripty>", "<pre>x</pre>", "</pre>", "A. Smith", "1.  two", "\t- tab", "é. x", "mix. x",
