@@ -87,6 +87,11 @@ def marker(s: str, fancy: bool = True) -> tuple[str, int] | None:
     return None
 
 
+def quotes(s: str) -> bool:
+    """Whether a line, or the body of an item, begins a quote."""
+    return bool(_c["QUOTE"].match(s.lstrip(" \t") if s[:4].strip() else s))
+
+
 def doubtful(s: str) -> bool:
     """Whether a line that opens a block may not be the list item that it reads as: an initial, a labelled example, a word that is a numeral."""
     if re.match(P.INITIAL, s):

@@ -79,9 +79,9 @@ _ETAL = r"(?P<etal>\bet[ ]al\b(?!\.))"
 _NAMES = {"bold": "emphasis.bold-colon", "arrow": "punct.arrow-aside", "dash": "chicago.emdash-spacing", "dots": "chicago.ellipsis", "gap": "chicago.sentence-space", "before": "chicago.space-before-punct", "after": "chicago.space-after-punct", "quote": "chicago.quote-terminal-punct", "abbrev": "chicago.abbrev-comma", "etal": "chicago.etal-period"}
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec"
 UNITS = "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|lb|oz|ml|l|s|ms|min|h|hr|hours?|minutes?|seconds?|days?|mph|kph|am|pm|percent|degrees?|inch(?:es)?|feet|miles?|pounds?|ounces?|liters?|meters?|gallons?"
-LABELS = "chapters?|volumes?|books?|parts?|sections?|verses?|ch|vol|bk|pt|sec|v|figures?|tables?|pages?|p|step|version"
+LABEL_WORDS = "chapters?|volumes?|books?|parts?|sections?|verses?|ch|vol|bk|pt|sec|v|figures?|tables?|pages?|p|step|version"
 _LONE = re.compile(rf"(?<![\w.,$/:#%-])[1-9](?![\w.,:/%)\]-])(?! ?(?:{UNITS}|{MONTHS}|%)\b)")
-_LABELLED = re.compile(rf"\b(?:{LABELS}|{MONTHS})\.? $", re.I)
+_LABELLED = re.compile(rf"\b(?:{LABEL_WORDS}|{MONTHS})\.? $", re.I)
 _SERIAL = re.compile(r"\b\w+, (?:\w+ ){0,3}\w+ (?:and|or) \w+")
 
 
@@ -170,6 +170,12 @@ def _context(lines: list[str]) -> tuple[list[str], list[dict]]:
         if r["kind"] == "table" and r["form"] == "pipe":
             for k in range(r["line"] - 1, r["end_line"]):
                 kinds[k] = "pipe"
+    quoted = False
+    for k, s in enumerate(lines):  # a quote goes on, with or without its sign, up to a blank line, a heading or a fence
+        if kinds[k] in ("blank", "heading", "code_fence", "code", "opaque"):
+            quoted = False
+        elif quoted or kinds[k] == "block_quote" or (kinds[k] == "list" and (m := B.marker(s)) and B.quotes(s[m[1] :])):
+            kinds[k], quoted = "block_quote", True
     return kinds, rec
 
 

@@ -112,10 +112,6 @@ def entries():
     out["b14_gaps"] = (_totality, "SELECT CAST(0 AS BIGINT) AS doc_id WHERE false")
     out["b01_front_matter"] = (pick(R.front_matter, ["frontmatter"], "line", "end_line"), "SELECT c_custkey AS doc_id, 1 AS line, 3 + CAST(c_custkey % 2 = 0 AS INTEGER) + CAST(c_custkey % 5 = 0 AS INTEGER) AS end_line FROM customer WHERE c_custkey % 7 <> 0")
     out["b12_block_quote"] = (pick(R.dirty, ["block_quote"], "line"), "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE 8 END AS line FROM supplier")
-    out["b13_paragraph"] = (
-        lambda spark, d: B.records(R.table(spark, d, "documents").where("text <> ''"), inlines=False).where("depth = 0").groupBy("kind").agg(F.countDistinct("doc_id").alias("n")).where("kind = 'paragraph'"),
-        None,
-    )
     out["b19_records"] = (lambda spark, d: B.records(R.table(spark, d, "documents").where("text <> ''")).groupBy("kind").agg(F.count("*").alias("n")), None)
     out["i05_links"] = (pick(R.links, ["link"], "destination", "form"), f"SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 2 = 0 THEN '#' || {SLUG.format('n_name')} ELSE '#no-such-' || n_nationkey END AS destination, 'inline' AS form FROM nation")
     out["i07_reference_links"] = (pick(R.references, ["link"], "label", "form"), "SELECT s_nationkey AS doc_id, 's' || s_suppkey AS label, 'reference' AS form FROM supplier WHERE s_suppkey % 2 = 0")

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from quillspan.plans import q_lines, q_links, q_prose, q_rewrite, q_structure, q_surface
+    from quillspan.plans import q_lines, q_links, q_more, q_prose, q_rewrite, q_structure, q_surface
 
-    return [q_lines, q_structure, q_links, q_prose, q_rewrite, q_surface]
+    return [q_lines, q_structure, q_links, q_prose, q_rewrite, q_surface, q_more]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:

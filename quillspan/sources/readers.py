@@ -67,14 +67,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(docs: DataFrame, path: str, keep_previous: bool = True) -> None:
-    """All or nothing: written beside the target, the old version kept as .bak where asked, then put in its place."""
-    fresh, target, old = Path(f"{path}.new"), Path(path), Path(f"{path}.bak")
-    docs.write.mode("error").parquet(str(fresh))
-    if target.exists():
-        if not keep_previous or old.exists():
-            raise FileExistsError(f"{old} is in the way")
-        target.rename(old)
-    fresh.rename(target)
+    """All or nothing, on any file system of the cluster: written beside the target, the old version kept as .bak where asked, then put in its place."""
+    spark = docs.sparkSession
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    target, fresh, old = name(path), name(f"{path}.new"), name(f"{path}.bak")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.exists(target)
+    if held and (not keep_previous or fs.exists(old)):
+        raise FileExistsError(f"{old.toString()} is in the way" if keep_previous else f"{path} is there")
+    docs.write.mode("error").parquet(f"{path}.new")
+    for a, b in [(target, old)] * held + [(fresh, target)]:
+        if not fs.rename(a, b):
+            raise OSError(f"{a.toString()} couldn't be renamed")
 
 
 def find_up(start: str, names: Sequence[str]) -> str | None:
@@ -106,11 +110,23 @@ def load_config(path: str | None, **flags) -> dict:
 
 
 def load_glossary(path: str) -> list:
-    """Terms of a JSON glossary file."""
+    """Terms of a glossary file: JSON, or YAML where its parser is installed; a list of entries, or a mapping with them as `terms`."""
     from quillspan.operators.terms import load
 
-    with open(path) as f:
-        return load(json.load(f))
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: no parser of YAML is installed") from e
+        data = yaml.safe_load(text) or []
+    else:
+        data = json.loads(text)
+    entries = data.get("terms") or [] if isinstance(data, dict) else data
+    if not isinstance(entries, list) or not all(isinstance(e, dict) for e in entries):
+        raise ValueError(f"{path}: entries have to be mappings")
+    return load(entries)
 
 
 def state_dir(start: str) -> str:
