@@ -10,7 +10,8 @@ already vanish in the first rounds.
 
 Defined results: a null text is never a copy; an empty text is a text like any
 other; rows that repeat an id are the same document and share its fate; a row
-without id is kept. Other columns play no part, whatever their names.
+without id is kept. A very long text is digested whole; of equal ids either row
+stands for both; an empty table gives no rows. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ a host with one page, has no template, so all visible text is content; a null id
 is carried along; rows whose structure and texts are the same count as one page.
 Pages that differ from a copy in some text are pages of their own: where they are
 more than half of a host's, what they share is the site's. Script, style, head and comments are
-never content.
+never content. Rows that repeat are extracted each; a very long page is read whole,
+and nodes more than DEPTH deep are children of the node at that depth, in order; of
+matches that tie the one that leaves later nodes out is taken; an empty table gives no rows; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations

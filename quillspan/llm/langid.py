@@ -13,7 +13,9 @@ positions inside follow from the blocks' ends, which is exact.
 Defined results: a null text, and one without a word, has no language and no
 spans; a null id is carried along; documents without a lang aren't trained on;
 with one language in the sample every word has it, and with none no word has
-any. Ties go to the language that is first by name.
+any, nor without a column lang. Ties go to the language that is first by name.
+Rows that repeat are labelled each; a very long text is labelled whole, in blocks;
+an empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import BYTE_CODES, LOWER, buffers, mix64, powers, read, release, slices, spread, word_spans
@@ -241,10 +243,12 @@ def label_words(model: Model, raw: np.ndarray, offs: np.ndarray) -> tuple[np.nda
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> Model:
-    ids = []
+    if "lang" not in docs.columns:
+        return train([], [])
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    for lang in sorted(r.lang for r in known.select("lang").distinct().collect()):
-        ids += [r.doc_id for r in known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(per_lang).collect()]
+    # one scan; each task passes on at most per_lang rows of a language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = [r.doc_id for r in known.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id").collect()]
     rows = known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").collect() if ids else []
     rows = sorted({r.doc_id: (r.text, r.lang) for r in rows}.items())
     return train([t for _, (t, _) in rows], [x for _, (_, x) in rows])

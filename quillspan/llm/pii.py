@@ -14,7 +14,7 @@ and no candidate has a greatest length.
 Defined results: a null or empty text has no spans; a null id is carried along;
 rows that repeat give their spans each; offsets count code points. Where two
 kinds could begin at one place, the first of KINDS is taken; a probability of
-exactly THRESHOLD is private. With no candidates at all, as in an empty table,
+exactly THRESHOLD is private. Other columns play no part in `detect`. With no candidates at all, as in an empty table,
 the model keeps its prior, and nothing is redacted. `redact` returns all columns
 of its input, whatever their names, with only text and n_chars changed.
 """

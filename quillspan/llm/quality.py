@@ -11,8 +11,11 @@ Classes: 0 clean, 1 junk (label quality = 0).
 
 Defined results: a null or empty text has no grams, its probability of junk is 0
 and it isn't rejected; a null id is carried along; labels
-that are null or whose document is missing aren't trained on; without any
-labels of a class, nothing is rejected.
+that are null or whose document is missing aren't trained on, an id with
+conflicting labels counts as junk, and of rows that repeat a labelled id one is trained on; without any
+labels of a class, nothing is rejected. Rows that repeat are scored each; a very
+long text is averaged whole; a probability of exactly the threshold is junk; an
+empty table gives no rows; all columns are kept, also one called p_junk.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ pieces. Decoding gathers the pieces' bytes.
 
 Defined results: the mark of a space in a text is a space, as in the model's own
 encoder; a null text has null ids and decodes to null; an empty text has
-no ids; a null id is carried along; rows that repeat are encoded each.
+no ids; a null id is carried along; rows that repeat are encoded each; a very long
+text is encoded whole. Of edges that tie the stable one is taken, and only one is.
+An empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

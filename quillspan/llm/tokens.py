@@ -13,7 +13,9 @@ no further encoding, how many tokens a prefix has and where to cut for a budget.
 Defined results: a null text has null counts and table; an empty text has 0
 tokens and an empty table; a null id is carried along; strings of special tokens
 are ordinary text. A cut is the longest prefix with no more tokens than the
-budget; null where nothing has to be cut.
+budget; null where nothing has to be cut. Of places with equal counts the last is
+the cut. Rows that repeat have a row each; a very long text has a table as long; an
+empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
