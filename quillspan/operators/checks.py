@@ -174,10 +174,13 @@ def bib_errors(sources: DataFrame) -> DataFrame:
 
 def unresolved_citations(records: DataFrame, named: DataFrame, keys: DataFrame, errors: DataFrame) -> DataFrame:
     """Citations without an entry. named: (doc_id, source). A document that names none isn't judged, nor one with a source that can't be read."""
+    records = kept(records.select("doc_id", "path", "kind", "line", "start", "end", "key"))
     judged = named.select("doc_id").distinct().join(named.join(errors, "source").select("doc_id").distinct(), "doc_id", "left_anti")
-    have = named.join(keys, "source").select("doc_id", "key").distinct()
-    c = records.where("kind = 'citation'").join(judged, "doc_id", "left_semi").join(have, ["doc_id", "key"], "left_anti")
-    lost = finding(c, "check.unresolved-citation", "error", F.concat(F.lit("no entry for @"), "key"))
+    c = records.where("kind = 'citation'").join(judged.hint("merge"), "doc_id", "left_semi")
+    # each citation asks the sources of its own document: documents that share a source aren't multiplied by its entries
+    asked = c.select("doc_id", "key").distinct().join(named.hint("merge"), "doc_id")
+    have = asked.join(keys.select("source", "key").hint("merge"), ["source", "key"], "left_semi").select("doc_id", "key").distinct()
+    lost = finding(c.join(have.hint("merge"), ["doc_id", "key"], "left_anti"), "check.unresolved-citation", "error", F.concat(F.lit("no entry for @"), "key"))
     docs = records.select("doc_id", "path").distinct()
     bad = named.join(errors, "source").join(docs, "doc_id").withColumn("line", F.lit(1)).withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
     return lost.unionByName(finding(bad, "check.bibliography-unreadable", "error", F.concat(F.lit("can't read "), "source")))
