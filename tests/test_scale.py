@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import blocks, checks
+from quillspan.operators import blocks, checks, prose
 
 
 def nodes(df):
@@ -38,3 +38,13 @@ def test_citations_meet_only_their_own_entries(spark):
     got = sorted(map(tuple, out.collect()))
     assert got == sorted((i, f"no entry for @p{i}") for i in range(n) if i % 3 == 0 for _ in "ab")
     assert max(rows_out(out, "Join")) <= 4 * n
+
+
+def test_sentences_are_not_broadcast_to_their_synonyms(spark, tmp_path):
+    spark.range(500).select("id").coalesce(1).write.parquet(path := str(tmp_path / "keys"))
+    rows = spark.read.parquet(path).select("id", F.concat(F.lit("A quick and big test "), F.col("id").cast("string"), F.lit(".")).alias("sentence"))
+    syn = spark.createDataFrame([("quick", "fast", 2.0, None), ("quick", "rapid", 1.0, None), ("big", "large", 3.0, None)], "word string, synonym string, weight double, flag string")
+    out = prose.synonym_candidates(rows, syn, ["id"], k=4)
+    got = [r.candidate for r in sorted(out.where("id = 3").collect(), key=lambda r: r["rank"])]
+    assert got == ["A quick and large test 3.", "A fast and big test 3.", "A rapid and big test 3.", "A fast and large test 3."]
+    assert len(out.collect()) == 2000 and max(rows_out(out, "BroadcastExchange"), default=0) <= 3
