@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.operators.spread import spread
+
 RECORD = ("seq", "kind", "start", "end", "line", "end_line", "depth", "level", "text", "label", "destination")
 
 
 def register(spark: SparkSession) -> None:
-    """md_records(text) gives the records of a text as a table; md_slug, md_fix and md_sentences are scalar."""
+    """md_records(text) gives the records of a text as a table; md_slug, md_fix and md_sentences are scalar. They run in the tasks of the table they are asked of: `view` gives one with enough."""
     from quillspan.operators import blocks, prose, rewrite
 
     class Records:
@@ -39,6 +41,11 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, f)
 
 
+def view(docs: DataFrame, name: str) -> None:
+    """A view for these functions, whose rows lie in as many tasks as the cluster can use."""
+    spread(docs).createOrReplaceTempView(name)
+
+
 def slug_text(text: str) -> str:
     """`structure.slug` of a single text."""
     for a, b in (("---", "—"), ("--", "–"), ("...", "…")):

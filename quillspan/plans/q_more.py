@@ -79,13 +79,13 @@ def _synced(spark, d):
 
 def _udtf(spark, d):
     sql.register(spark)
-    forms(spark, d, "# T{k}\n\nOne. Two.\n", "#X{k}\n").createOrReplaceTempView("quillspan_forms")
+    sql.view(forms(spark, d, "# T{k}\n\nOne. Two.\n", "#X{k}\n"), "quillspan_forms")
     return spark.sql("SELECT f.doc_id, r.kind, r.line, md_slug(r.text) AS slug FROM quillspan_forms f, LATERAL md_records(f.text) r WHERE r.kind <> 'gap'")
 
 
 def _scalars(spark, d):
     sql.register(spark)
-    forms(spark, d, "#X{k}\n", "One{k}. Two.").createOrReplaceTempView("quillspan_forms")
+    sql.view(forms(spark, d, "#X{k}\n", "One{k}. Two."), "quillspan_forms")
     return spark.sql("SELECT doc_id, md_fix(text) AS fixed, array_join(md_sentences(text), '|') AS sentences FROM quillspan_forms")
 
 

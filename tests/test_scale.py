@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import blocks, checks, prose
+from quillspan.functions import sql
+from quillspan.operators import blocks, checks, prose, rewrite
+from quillspan.operators.spread import spread
 
 
 def nodes(df):
@@ -48,3 +50,16 @@ def test_sentences_are_not_broadcast_to_their_synonyms(spark, tmp_path):
     got = [r.candidate for r in sorted(out.where("id = 3").collect(), key=lambda r: r["rank"])]
     assert got == ["A quick and large test 3.", "A fast and big test 3.", "A rapid and big test 3.", "A fast and large test 3."]
     assert len(out.collect()) == 2000 and max(rows_out(out, "BroadcastExchange"), default=0) <= 3
+
+
+def test_short_rows_of_one_file_are_spread_over_the_cores(spark, tmp_path):
+    spark.range(400).coalesce(1).write.parquet(path := str(tmp_path / "keys"))
+    docs = spark.read.parquet(path).select(F.col("id").alias("doc_id"), F.format_string("#T%d\n", "id").alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    sql.view(docs, "spread_docs")
+    for made in (blocks.records(docs), rewrite.rewrite_documents(docs), rewrite.lint_documents(docs), spark.table("spread_docs")):
+        assert made.rdd.getNumPartitions() >= 3 * cores
+    sizes = [r["count"] for r in blocks.records(docs).where("kind = 'paragraph'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 60
+    assert spread(many := spark.range(0, 400, 1, 3 * cores)) is many
+    assert spark.table("spread_docs").count() == 400
