@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.kept import kept
-from quillspan.operators.links import FINDING, Graph, bare, external, finding, label_key, resolve, split_target, union
+from quillspan.operators.links import FINDING, Graph, bare, external, finding, label_key, resolve, sorted_, split_target, union
 from quillspan.operators import rewrite
 from quillspan.operators.structure import headings, slice_bytes
 
@@ -33,20 +33,20 @@ def missing_assets(records: DataFrame, files: DataFrame, roots: Sequence[str] =
     """Images that are neither beside their document nor, as written or by name, under a root."""
     d = _assets(records).withColumn("resolved", resolve(F.col("path"), F.col("target")))
     have = files.select(F.col("path").alias("resolved")).distinct()
-    d = d.join(have, "resolved", "left_anti")
+    d = d.join(sorted_(have), "resolved", "left_anti")
     for r in roots:
         for t in (F.col("target"), F.element_at(F.split("target", "/"), -1)):
-            d = d.withColumn("resolved", resolve(F.lit(r.rstrip("/") + "/"), t)).join(have, "resolved", "left_anti")
+            d = d.withColumn("resolved", resolve(F.lit(r.rstrip("/") + "/"), t)).join(sorted_(have), "resolved", "left_anti")
     return finding(d, "check.missing-asset", "error", F.concat(F.lit("no asset "), "target"))
 
 
 def found_assets(records: DataFrame, missing: DataFrame) -> DataFrame:
     """Spans of images whose file is there."""
-    return _assets(records).select("path", "start", "end").join(missing.select("path", "start", "end"), ["path", "start", "end"], "left_anti")
+    return _assets(records).select("path", "start", "end").join(sorted_(missing.select("path", "start", "end")), ["path", "start", "end"], "left_anti")
 
 
 def fence_languages(records: DataFrame, docs: DataFrame) -> DataFrame:
-    f = records.where("kind = 'code_fence'").drop("text").join(docs.select("doc_id", F.col("text").alias("__t")), "doc_id")
+    f = records.where("kind = 'code_fence'").drop("text").join(sorted_(docs.select("doc_id", F.col("text").alias("__t"))), "doc_id")
     first = F.split(slice_bytes("__t", F.col("start"), F.col("end")), "\n")[0]
     return finding(f.where(F.regexp_replace(first, "[`~ \t]", "") == ""), "check.fence-language", "warning", F.lit("fence without a language"))
 
@@ -61,7 +61,7 @@ def duplicate_definitions(graph: Graph) -> DataFrame:
 
 
 def lossy_math(records: DataFrame, docs: DataFrame) -> DataFrame:
-    p = records.where("kind = 'paragraph'").drop("text").join(docs.select("doc_id", F.col("text").alias("__t")), "doc_id").withColumn("body", slice_bytes("__t", F.col("start"), F.col("end")))
+    p = records.where("kind = 'paragraph'").drop("text").join(sorted_(docs.select("doc_id", F.col("text").alias("__t"))), "doc_id").withColumn("body", slice_bytes("__t", F.col("start"), F.col("end")))
     rule = F.when(F.col("body").contains("$$"), "check.lossy-math").when(F.col("body").contains("\\begin{"), "check.lossy-latex")
     return finding(p.withColumn("r", rule).where("r IS NOT NULL"), F.col("r"), "warning", F.lit("display mathematics may not survive"))
 
@@ -82,7 +82,7 @@ _KEYS = "doc_id bigint, path string, key string, key_line int, yaml_type string,
 
 def front_matter(records: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, path, key, key_line, yaml_type, value, valid) of every top key; one row with a null key where the block isn't a mapping."""
-    f = records.where("kind = 'frontmatter'").drop("text").join(docs.select("doc_id", F.col("text").alias("__t")), "doc_id").select("doc_id", "path", slice_bytes("__t", F.col("start"), F.col("end")).alias("body"))
+    f = records.where("kind = 'frontmatter'").drop("text").join(sorted_(docs.select("doc_id", F.col("text").alias("__t"))), "doc_id").select("doc_id", "path", slice_bytes("__t", F.col("start"), F.col("end")).alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -176,11 +176,11 @@ def unresolved_citations(records: DataFrame, named: DataFrame, keys: DataFrame,
     """Citations without an entry. named: (doc_id, source). A document that names none isn't judged, nor one with a source that can't be read."""
     records = kept(records.select("doc_id", "path", "kind", "line", "start", "end", "key"))
     judged = named.select("doc_id").distinct().join(named.join(errors, "source").select("doc_id").distinct(), "doc_id", "left_anti")
-    c = records.where("kind = 'citation'").join(judged.hint("merge"), "doc_id", "left_semi")
+    c = records.where("kind = 'citation'").join(sorted_(judged), "doc_id", "left_semi")
     # each citation asks the sources of its own document: documents that share a source aren't multiplied by its entries
-    asked = c.select("doc_id", "key").distinct().join(named.hint("merge"), "doc_id")
-    have = asked.join(keys.select("source", "key").hint("merge"), ["source", "key"], "left_semi").select("doc_id", "key").distinct()
-    lost = finding(c.join(have.hint("merge"), ["doc_id", "key"], "left_anti"), "check.unresolved-citation", "error", F.concat(F.lit("no entry for @"), "key"))
+    asked = c.select("doc_id", "key").distinct().join(sorted_(named), "doc_id")
+    have = asked.join(sorted_(keys.select("source", "key")), ["source", "key"], "left_semi").select("doc_id", "key").distinct()
+    lost = finding(c.join(sorted_(have), ["doc_id", "key"], "left_anti"), "check.unresolved-citation", "error", F.concat(F.lit("no entry for @"), "key"))
     docs = records.select("doc_id", "path").distinct()
     bad = named.join(errors, "source").join(docs, "doc_id").withColumn("line", F.lit(1)).withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
     return lost.unionByName(finding(bad, "check.bibliography-unreadable", "error", F.concat(F.lit("can't read "), "source")))
@@ -199,16 +199,21 @@ def suppressed(rule: Column, prefixes: Sequence[str]) -> Column:
 
 def precede(findings: DataFrame, found: DataFrame, suppress: Sequence[str] = ()) -> DataFrame:
     """Suppression, and of two findings of one defect the more telling."""
-    keep = findings.where(~suppressed(F.col("rule"), suppress))
+    keep = kept(findings.where(~suppressed(F.col("rule"), suppress)).select(*FINDING))  # read three times here, and each part of it is a pass over the documents
     asset = keep.where("rule = 'check.missing-asset'").select("path", "start", "end")
     hide = found.select("path", "start", "end").unionByName(asset).distinct().withColumn("rule", F.lit("links.missing-file"))
     open_ = keep.where("rule = 'check.unterminated-fence'").select("doc_id").distinct().withColumn("rule", F.lit("dialect.fence.unterminated"))
-    return keep.join(hide, ["path", "start", "end", "rule"], "left_anti").join(open_, ["doc_id", "rule"], "left_anti").select(*FINDING)
+    return keep.join(sorted_(hide), ["path", "start", "end", "rule"], "left_anti").join(sorted_(open_), ["doc_id", "rule"], "left_anti").select(*FINDING)
+
+
+#: What the rules below read of records.
+CHECKED = ("heading", "paragraph", "code_fence", "image", "link", "reference_def", "footnote_def", "footnote_ref")
+CHECKED_COLUMNS = ("doc_id", "path", "kind", "line", "start", "end", "depth", "parent", "level", "text", "plain", "form", "unterminated", "label", "destination", "dest_start", "dest_end")
 
 
 def check(records: DataFrame, docs: DataFrame, files: DataFrame, roots: Sequence[str] = (), suppress: Sequence[str] = (), dialect: DataFrame | None = None) -> DataFrame:
     """All structural and link findings of a repository; `ordered` sorts them to print. The records are kept, so that all rules read one parse."""
-    records = kept(records)
+    records = kept(records.where(F.col("kind").isin(*CHECKED)).select(*CHECKED_COLUMNS))
     g = Graph(records)
     missing = missing_assets(records, files, roots)
     parts = [heading_skips(records), image_alts(records), missing, fence_languages(records, docs), unterminated_fences(records), duplicate_definitions(g), lossy_math(records, docs), anchor_collisions(records), g.findings(files, docs.select("path"))]
@@ -223,7 +228,7 @@ def dialect(docs: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
     fix = rewrite.hits(rewrite.rewrite_documents(docs) if rewritten is None else rewritten).where(F.col("rule").isin(*rewrite.REQUIRED)).withColumn("severity", F.lit("error"))
     lint = rewrite.lint_documents(docs).withColumn("severity", F.lit("warning"))
     label = F.create_map(*[F.lit(x) for r in rewrite.RULES for x in (r, rewrite.LABELS[r])])[F.col("rule")]
-    rows = fix.unionByName(lint).join(paths, "doc_id").withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
+    rows = fix.unionByName(lint).join(sorted_(paths), "doc_id").withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
     message = F.when(F.col("severity") == "error", F.concat(F.lit("not canonical: "), label)).otherwise(label)
     return finding(rows, F.concat(F.lit("dialect."), "rule"), F.col("severity"), message)
 

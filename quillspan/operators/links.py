@@ -17,6 +17,11 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def sorted_(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the documents: their estimated size is that of the file their keys are in, by which the optimizer would broadcast them."""
+    return df.hint("merge")
+
+
 def finding(df: DataFrame, rule: str | Column, severity: str | Column, message: Column, *extra: str) -> DataFrame:
     col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return df.select("doc_id", "path", col(rule).alias("rule"), col(severity).alias("severity"), F.col("line").cast("int").alias("line"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), message.alias("message"), *extra)
@@ -72,7 +77,7 @@ class Graph:
         self.notes = notes.where("nth = 1").select("doc_id", "path", "label", "line", "start", "end")
         bodies = records.where("kind = 'footnote_def'").select("doc_id", F.col("start").alias("parent"), F.lit(True).alias("in_body"))
         refs = records.where("kind = 'footnote_ref'").select("doc_id", "path", "label", "line", "start", "end", "parent")
-        self.note_refs = refs.join(bodies, ["doc_id", "parent"], "left").withColumn("in_body", F.coalesce("in_body", F.lit(False)))
+        self.note_refs = refs.join(sorted_(bodies), ["doc_id", "parent"], "left").withColumn("in_body", F.coalesce("in_body", F.lit(False)))
         key = F.when((F.col("form") == "reference") & (F.coalesce("label", F.lit("")) == ""), F.col("text")).otherwise(F.col("label"))
         self.named = self.links.where("form IN ('reference', 'shortcut')").withColumn("shown", key).withColumn("key", label_key("shown"))
 
@@ -80,7 +85,7 @@ class Graph:
         """Local destinations of all links, those of reference links by way of their definitions."""
         own = self.links.where("form = 'inline'").withColumn("to", bare(F.col("destination")))
         d = self.definitions.select("doc_id", "key", F.col("destination").alias("d"), F.col("dest_start").alias("d0"), F.col("dest_end").alias("d1"))
-        via = self.named.join(d, ["doc_id", "key"]).withColumn("to", bare(F.col("d"))).drop("dest_start", "dest_end").withColumnsRenamed({"d0": "dest_start", "d1": "dest_end"})
+        via = self.named.join(sorted_(d), ["doc_id", "key"]).withColumn("to", bare(F.col("d"))).drop("dest_start", "dest_end").withColumnsRenamed({"d0": "dest_start", "d1": "dest_end"})
         cols = ["doc_id", "path", "kind", "line", "start", "end", "to", "dest_start", "dest_end"]
         out = own.select(*cols).unionByName(via.select(*cols)).where((F.col("to") != "") & ~external(F.col("to")))
         target, anchor = split_target(F.col("to"))
@@ -89,40 +94,40 @@ class Graph:
     # rules
     def broken_here(self) -> DataFrame:
         d = self.destinations().where("target = '' AND anchor <> ''")
-        return finding(d.join(self.anchors.select("doc_id", F.col("slug").alias("anchor")), ["doc_id", "anchor"], "left_anti"), "links.broken-anchor", "error", F.concat(F.lit("no heading for #"), "anchor"), "dest_start", "dest_end", "to")
+        return finding(d.join(sorted_(self.anchors.select("doc_id", F.col("slug").alias("anchor"))), ["doc_id", "anchor"], "left_anti"), "links.broken-anchor", "error", F.concat(F.lit("no heading for #"), "anchor"), "dest_start", "dest_end", "to")
 
     def missing_files(self, files: DataFrame) -> DataFrame:
         d = self.destinations().where("target <> ''")
-        return finding(d.join(files.select(F.col("path").alias("resolved")).distinct(), "resolved", "left_anti"), "links.missing-file", "error", F.concat(F.lit("no file "), "target"), "dest_start", "dest_end", "to")
+        return finding(d.join(sorted_(files.select(F.col("path").alias("resolved")).distinct()), "resolved", "left_anti"), "links.missing-file", "error", F.concat(F.lit("no file "), "target"), "dest_start", "dest_end", "to")
 
     def broken_elsewhere(self, files: DataFrame, scope: DataFrame) -> DataFrame:
         """Anchors of other documents of this run; a document outside of it isn't judged."""
-        d = self.destinations().where("target <> '' AND anchor <> ''").join(files.select(F.col("path").alias("resolved")).distinct(), "resolved", "left_semi")
-        d = d.join(scope.select(F.col("path").alias("resolved")).distinct(), "resolved", "left_semi")
+        d = self.destinations().where("target <> '' AND anchor <> ''").join(sorted_(files.select(F.col("path").alias("resolved")).distinct()), "resolved", "left_semi")
+        d = d.join(sorted_(scope.select(F.col("path").alias("resolved")).distinct()), "resolved", "left_semi")
         have = self.anchors.select(F.col("path").alias("resolved"), F.col("slug").alias("anchor"))
-        return finding(d.join(have, ["resolved", "anchor"], "left_anti"), "links.broken-anchor", "error", F.concat("target", F.lit(" lacks #"), "anchor"), "dest_start", "dest_end", "to")
+        return finding(d.join(sorted_(have), ["resolved", "anchor"], "left_anti"), "links.broken-anchor", "error", F.concat("target", F.lit(" lacks #"), "anchor"), "dest_start", "dest_end", "to")
 
     def undefined_references(self) -> DataFrame:
-        lost = self.named.join(self.definitions.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+        lost = self.named.join(sorted_(self.definitions.select("doc_id", "key")), ["doc_id", "key"], "left_anti")
         some = self.definitions.select("doc_id").distinct().withColumn("some", F.lit(True))
-        lost = lost.join(some, "doc_id", "left").where((F.col("form") != "shortcut") | F.col("some"))
+        lost = lost.join(sorted_(some), "doc_id", "left").where((F.col("form") != "shortcut") | F.col("some"))
         return finding(lost, "links.undefined-reference", F.when(F.col("form") == "shortcut", "warning").otherwise("error"), F.concat(F.lit("undefined ["), "shown", F.lit("]")))
 
     def unused_definitions(self) -> DataFrame:
-        d = self.definitions.join(self.named.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
+        d = self.definitions.join(sorted_(self.named.select("doc_id", "key").distinct()), ["doc_id", "key"], "left_anti")
         return finding(d.withColumn("start", F.lit(0)).withColumn("end", F.lit(0)), "links.unused-definition", "warning", F.concat(F.lit("["), "key", F.lit("] is never used")))
 
     def undefined_notes(self) -> DataFrame:
-        return finding(self.note_refs.join(self.notes.select("doc_id", "label"), ["doc_id", "label"], "left_anti"), "links.undefined-footnote", "error", F.concat(F.lit("undefined note "), "label"))
+        return finding(self.note_refs.join(sorted_(self.notes.select("doc_id", "label")), ["doc_id", "label"], "left_anti"), "links.undefined-footnote", "error", F.concat(F.lit("undefined note "), "label"))
 
     def reused_notes(self) -> DataFrame:
         w = Window.partitionBy("doc_id", "label").orderBy("start")
-        r = self.note_refs.where("NOT in_body").join(self.notes.select("doc_id", "label"), ["doc_id", "label"], "left_semi")
+        r = self.note_refs.where("NOT in_body").join(sorted_(self.notes.select("doc_id", "label")), ["doc_id", "label"], "left_semi")
         r = r.withColumn("nth", F.row_number().over(w)).withColumn("first", F.first("line").over(w)).where("nth > 1")
         return finding(r, "links.reused-footnote", "error", F.concat(F.lit("note "), "label", F.lit(" was first used on line "), F.col("first").cast("string")))
 
     def unused_notes(self) -> DataFrame:
-        d = self.notes.join(self.note_refs.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_anti")
+        d = self.notes.join(sorted_(self.note_refs.select("doc_id", "label").distinct()), ["doc_id", "label"], "left_anti")
         return finding(d.withColumn("start", F.lit(0)).withColumn("end", F.lit(0)), "links.unused-footnote", "warning", F.concat(F.lit("note "), "label", F.lit(" is never used")))
 
     def findings(self, files: DataFrame, scope: DataFrame | None = None) -> DataFrame:
