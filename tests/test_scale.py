@@ -63,3 +63,21 @@ def test_short_rows_of_one_file_are_spread_over_the_cores(spark, tmp_path):
     assert sum(sizes) == 400 and max(sizes) <= 60
     assert spread(many := spark.range(0, 400, 1, 3 * cores)) is many
     assert spark.table("spread_docs").count() == 400
+
+
+def test_findings_are_made_once(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.format_string("d%d.md", "id").alias("path"), F.when(F.col("id") % 2 == 0, "#T\n\n```\nx\n").otherwise("# T\n").alias("text"))
+    found = checks.check(blocks.records(docs), docs, docs.select("path"), dialect=checks.dialect(docs))
+    assert found.where("rule = 'dialect.heading.atx-space'").count() == 20 == found.where("rule = 'check.unterminated-fence'").count()
+    assert not found.where("rule = 'dialect.fence.unterminated'").count()
+    assert not any("MapInArrow" in p.nodeName() for p in nodes(found))
+
+
+def test_compared_metrics_join_a_row_a_document(spark):
+    docs = spark.range(30).select("id", F.lit("One two three. Four five.").alias("text"))
+    compared = prose.compare(prose.metrics(docs, "id"), prose.metrics(docs.where("id < 20"), "id"), "id")
+    got = compared.collect()
+    assert compared.columns == ["id", "metric", "before", "after", "change", "regressed"]
+    assert len(got) == 20 * len(prose.DIRECTION) and not any(r.regressed or r.change for r in got)
+    assert max(rows_out(compared, "Join")) == 20
+    assert prose.metrics(docs.coalesce(1), "id").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
