@@ -10,6 +10,7 @@ from quillspan.operators import prose as Z
 from quillspan.operators import checks, repair
 from quillspan.operators import rewrite as W
 from quillspan.operators import terms as T
+from quillspan.operators.spread import spread
 from quillspan.plans import commands
 from quillspan.plans import recipes as R
 from quillspan.plans.q_links import TERMS, _broken_titles
@@ -18,7 +19,7 @@ from quillspan.plans.q_rewrite import BASE, _lines
 
 def forms(spark, d, *texts: str):
     """A document for each part, with the text of p_partkey modulo their number; {k} is the key."""
-    p, k = R.table(spark, d, "part"), F.col("p_partkey")
+    p, k = spread(R.table(spark, d, "part").select("p_partkey")), F.col("p_partkey")
     text = F.element_at(F.array(*[F.lit(t) for t in texts]), (k % len(texts) + 1).cast("int"))
     return p.select(k.cast("bigint").alias("doc_id"), F.format_string("part-%d.md", k).alias("path"), F.replace(text, F.lit("{k}"), k.cast("string")).alias("text"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import sql
 from quillspan.operators import blocks, checks, prose, rewrite
+from quillspan.operators import spread as spreading
 from quillspan.operators.spread import spread
+from quillspan.plans import registry
 
 
 def nodes(df):
@@ -81,3 +84,30 @@ def test_compared_metrics_join_a_row_a_document(spark):
     assert len(got) == 20 * len(prose.DIRECTION) and not any(r.regressed or r.change for r in got)
     assert max(rows_out(compared, "Join")) == 20
     assert prose.metrics(docs.coalesce(1), "id").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_tasks_are_those_of_the_executors_asked_for():
+    """A session's first query is planned when two cores are registered at most."""
+    told = [{"spark.master": "local-cluster[3,4,10240]"}, {"spark.cores.max": "12"}, {"spark.executor.instances": "3", "spark.executor.cores": "4"}, {"spark.master": "local[2]"}, {}]
+    assert [spreading.cores(2, t.get) for t in told] == [12, 12, 12, 2, 2]
+    assert spreading.cores(40, told[0].get) == 40
+
+
+#: Queries whose texts are built from keys, and how many times they build them.
+BUILT = {"e04_introduced_dirt": 2}
+
+
+@pytest.mark.parametrize("name", BUILT)
+def test_keys_are_shuffled_and_not_their_texts(spark, name):
+    out = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    laid = [p for p in nodes(out) if "Exchange" in p.nodeName() and "RoundRobin" in p.outputPartitioning().toString()]
+    assert [p.output().size() for p in laid] == [1] * BUILT[name]
+
+
+def test_a_text_is_parsed_once_a_change(monkeypatch):
+    seen, parse = [], rewrite.B.parse
+    monkeypatch.setattr(rewrite.B, "parse", lambda text, **kw: seen.append(text) or parse(text, **kw))
+    kept = rewrite.rewrite("# Kept 1\n")
+    made = rewrite.rewrite("#Made 1\n")
+    assert (kept, made) == (("# Kept 1\n", [], True), ("# Made 1\n", [("heading.atx-space", 1)], True))
+    assert seen == ["# Kept 1\n", "#Made 1\n", "# Made 1\n"]
