@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from quillspan.operators import rewrite as W
+from quillspan.operators.spread import spread
 from quillspan.plans import recipes as R
 
 BASE = W.Options(required=False)
@@ -16,7 +17,7 @@ def _lines(options, before, after, rule):
     """A line for each part, written with its key; the SQL has the line as it should become."""
 
     def run(spark, d):
-        p = R.table(spark, d, "part")
+        p = spread(R.table(spark, d, "part").select("p_partkey"))
         docs = p.select(F.col("p_partkey").cast("bigint").alias("doc_id"), F.replace(F.lit(before), F.lit("{k}"), F.col("p_partkey").cast("string")).alias("text"))
         return W.rewrite_documents(docs, options).select("doc_id", "text", F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["rule"]))), ",").alias("rules"))
 
