@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import sql
-from quillspan.operators import blocks, checks, prose, rewrite
+from quillspan.operators import blocks, checks, inline, prose, rewrite
 from quillspan.operators import spread as spreading
 from quillspan.operators.spread import spread
 from quillspan.plans import registry
@@ -94,7 +94,7 @@ def test_tasks_are_those_of_the_executors_asked_for():
 
 
 #: Queries whose texts are built from keys, and how many times they build them.
-BUILT = {"e04_introduced_dirt": 2, "b16_lazy_quote": 1}
+BUILT = {"e04_introduced_dirt": 2, "b16_lazy_quote": 1, "i13_scopes": 1}
 
 
 @pytest.mark.parametrize("name", BUILT)
@@ -111,3 +111,17 @@ def test_a_text_is_parsed_once_a_change(monkeypatch):
     made = rewrite.rewrite("#Made 1\n")
     assert (kept, made) == (("# Kept 1\n", [], True), ("# Made 1\n", [("heading.atx-space", 1)], True))
     assert seen == ["# Kept 1\n", "#Made 1\n", "# Made 1\n"]
+
+
+def test_a_line_is_scanned_by_its_signs():
+    """Places of a line without signs aren't stepped through: the tests of a place run once a sign."""
+    asked = []
+
+    class Line(str):
+        def __getitem__(self, at):
+            asked.append(at)
+            return str.__getitem__(self, at)
+
+    found = inline.scan(Line("word " * 500 + "[a](b) " + "word " * 500))
+    assert [(x.kind, x.text, x.destination, x.start) for x in found] == [("link", "a", "b", 2500)]
+    assert len(asked) < 100
