@@ -119,6 +119,25 @@ def test_codec_is_the_library():
     assert c.encode([])[0].tolist() == []
 
 
+def test_codec_sorts_few_times(monkeypatch):
+    """Pairs met are looked up, not sorted into all known ones at each place; suffixes are sorted twice a batch of few signs."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij    é漢\0") for _ in range(rng.randrange(90))) for _ in range(200)] + [" " * n for n in range(20)] + ["abc" * 300]
+    c, big = sp_codec.Codec(), []
+    sort = np.argsort
+    ids, many = c.encode(texts[:120])
+    monkeypatch.setattr(np, "argsort", lambda x, **k: big.append(len(x)) or sort(x, **k))
+    more, n = c.encode(texts)
+    assert len(big) <= 5  # it was one for each place in the longest unit besides
+    monkeypatch.undo()
+    assert more[: len(ids)].tolist() == ids.tolist() and n[:120].tolist() == many.tolist()
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sp_codec.MODEL)
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends):
+        assert more[a:b].tolist() == sp.encode(t)
+    assert c.decode(more, n) == texts
+
+
 def test_codec_rows(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (None, "x  y"), (1, "Hello world"), (4, "ab " * 30_000)]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, ids string")
