@@ -113,6 +113,14 @@ def test_a_text_is_parsed_once_a_change(monkeypatch):
     assert seen == ["# Kept 1\n", "#Made 1\n", "# Made 1\n"]
 
 
+def test_a_rewrite_asks_no_plain_text_of_headings(monkeypatch):
+    asked, plain = [], rewrite.B.I.plain
+    monkeypatch.setattr(rewrite.B.I, "plain", lambda s: asked.append(s) or plain(s))
+    assert rewrite.rewrite("# **Made** 2\n", rewrite.Options(required=False, editorial=True)) == ("# Made 2\n", [("heading.emphasis", 1)], True)
+    assert asked == []
+    assert [r["plain"] for r in rewrite.B.parse("# **Made** 3\n") if r["kind"] == "heading"] == ["Made 3"] and asked == ["**Made** 3"]
+
+
 def test_a_line_is_scanned_by_its_signs():
     """Places of a line without signs aren't stepped through: the tests of a place run once a sign."""
     asked = []
