@@ -29,12 +29,29 @@ def _laid(plan, most: int) -> bool:
     return plan.nodeName() == "Repartition" and plan.shuffle() and plan.numPartitions() >= most
 
 
+def _rows_in(df: DataFrame, plan, most: int) -> bool:
+    """Whether as many partitions of a plan's files can have rows: Parquet is split by bytes, but rows go to the split that has the middle of their row group."""
+    leaves = plan.collectLeaves()
+    if not all((x := leaves.apply(i)).nodeName() == "LogicalRelation" and str(x.relation()) == "parquet" for i in range(leaves.size())):
+        return True
+    files, groups = df.inputFiles(), 0
+    if len(files) >= most:
+        return True
+    sc = df.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    for f in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)), conf))
+        groups += reader.getRowGroups().size()
+        reader.close()
+    return groups >= most
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least TASKS_A_CORE partitions a core.
 
     Files are split by bytes, and a row group isn't split at all, so that a million short rows can lie
-    in one partition. Rows go round-robin, with one shuffle; an input that has partitions enough by its
-    files, or by its size where a shuffle precedes, stays as it is, and so does a stream. Keys that texts are built
+    in one partition, and the others of their file have none. Rows go round-robin, with one shuffle; an input that has
+    partitions enough by its files and their row groups, or by its size where a shuffle precedes, stays as it is, and so does a stream. Keys that texts are built
     from are best spread themselves: the texts are then built in all tasks and not shuffled, nor spread again.
     """
     if df.isStreaming:
@@ -47,5 +64,5 @@ def spread(df: DataFrame) -> DataFrame:
     if str(done.executedPlan().nodeName()).startswith("AdaptiveSparkPlan"):  # its partitions are known only when it has run
         enough = int(str(done.optimizedPlan().stats().sizeInBytes())) >= most * ENOUGH_BYTES
     else:
-        enough = done.toRdd().getNumPartitions() >= most
+        enough = done.toRdd().getNumPartitions() >= most and _rows_in(df, done.optimizedPlan(), most)
     return df if enough else df.repartition(most)

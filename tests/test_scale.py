@@ -68,6 +68,22 @@ def test_short_rows_of_one_file_are_spread_over_the_cores(spark, tmp_path):
     assert spark.table("spread_docs").count() == 400
 
 
+def test_row_groups_are_counted_and_not_splits_of_bytes(spark, tmp_path):
+    """A file of one row group in many splits: the rows are all in one of them."""
+    spark.range(400).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "a part" / "part.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        keys = spark.read.parquet(str(tmp_path / "a part" / "part.parquet"))
+        assert keys.rdd.getNumPartitions() >= 3 * cores
+        assert keys.groupBy(F.spark_partition_id()).count().count() == 1
+        out = registry.queries()["f18_code_is_kept"](spark, str(tmp_path / "a part"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == 400 and max(sizes) <= 60
+
+
 def test_findings_are_made_once(spark):
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.format_string("d%d.md", "id").alias("path"), F.when(F.col("id") % 2 == 0, "#T\n\n```\nx\n").otherwise("# T\n").alias("text"))
     found = checks.check(blocks.records(docs), docs, docs.select("path"), dialect=checks.dialect(docs))
