@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +153,24 @@ def test_a_line_is_scanned_by_its_signs():
     found = inline.scan(Line("word " * 500 + "[a](b) " + "word " * 500))
     assert [(x.kind, x.text, x.destination, x.start) for x in found] == [("link", "a", "b", 2500)]
     assert len(asked) < 100
+
+
+def test_a_line_without_a_match_is_not_scanned(monkeypatch):
+    asked, scan = [], rewrite.I.scan
+    monkeypatch.setattr(rewrite.I, "scan", lambda s, *a: asked.append(s) or scan(s, *a))
+    plain, code = "Keep `this` word\n", "Use `a -- b` here.\n"
+    assert [rewrite.rewrite(t, rewrite.CANONICAL) for t in (plain, code)] == [(plain, [], True), (code, [], True)]
+    assert asked == [code[:-1]]
+
+
+@pytest.mark.parametrize("off", ["", "editorial", "chicago_punct", "chicago_punct2", "chicago_abbrev", "quote_punct", "arrow_aside"])
+def test_patterns_of_a_line_are_asked_only_where_they_can_begin(off):
+    """The same matches as those of the patterns one by one, over lines of their signs."""
+    o = replace(rewrite.CANONICAL, **{off: False} if off else {})
+    parts = [p for p in rewrite._SIGNS if f"{re.search('<[a-z]+>', p)[0]}" in rewrite.scanner(o).pattern]
+    free, asked, pick = re.compile("|".join(parts)), rewrite.scanner(o), random.Random(15)
+    pieces = [*" *→—-.,;:!?\"'”’)](eiaB1\u00e9_…", "**", "--", "  ", "...", ". . .", "et al", "e.g.", "i.e.", ".) ", '."  ', "\"."]
+    found = lambda rx, s: [(m.span(), m.lastgroup) for m in rx.finditer(s)]
+    lines = ["".join(pick.choices(pieces, k=pick.randint(1, 14))) for _ in range(20_000)]
+    assert [s for s in lines if found(free, s) != found(asked, s)] == [] and sum(bool(found(asked, s)) for s in lines) > 1000
+    assert asked.pattern.startswith("(?=[")
